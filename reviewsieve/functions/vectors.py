@@ -6,24 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dimension_sums(vector: Column, size: int, prefix: str = "_s") -> list[Column]:
-    """One ``sum`` per dimension: fixed-width buffers, combined before the shuffle."""
-    return [F.sum(vector[i].cast("double")).alias(f"{prefix}{i}") for i in range(size)]
-
-
-def gathered(size: int, prefix: str = "_s") -> Column:
-    """The per-dimension columns back as one array."""
-    return F.array(*[F.col(f"{prefix}{i}") for i in range(size)])
-
-
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, size: int) -> DataFrame:
-    """Mean vector and row count per group: ``(keys, n, mean)``."""
-    sums = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *dimension_sums(F.col(vector), size)
-    )
-    return sums.select(
-        *keys, "n", F.transform(gathered(size), lambda s: s / F.col("n")).alias("mean")
+    """Mean vector and row count per group: ``(keys, n, mean)``.
+
+    One ``avg`` per dimension: fixed-width buffers that are combined before the shuffle.
+    """
+    means = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.expr(f"avg(cast({vector}[{i}] as double)) as _m{i}") for i in range(size)],
     )
+    parts = ", ".join(f"_m{i}" for i in range(size))
+    return means.select(*keys, "n", F.expr(f"array({parts})").alias("mean"))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression
@@ -16,7 +17,7 @@ from reviewsieve.operators.pool import RUN
 
 # Inverse strength of the penalty, and how far the fit is driven.
 PENALTY_C = 1.0
-TOLERANCE = 1e-10
+TOLERANCE = 1e-8
 MAX_STEPS = 500
 
 
@@ -46,26 +47,34 @@ def _of_run(df: DataFrame, state: Row) -> DataFrame:
 
 
 def score(
-    labelled: DataFrame, candidates: DataFrame, states: list[Row], estimator=default_estimator
+    labelled: DataFrame,
+    candidates: DataFrame,
+    states: list[Row],
+    estimator=default_estimator,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Candidates with ``p``, the probability of label 1 under their own run's model.
 
     One fit per run on all its labelled rows, from scratch; ``estimator`` maps the number
     of labelled rows to any probabilistic ``pyspark.ml`` classifier on ``_x`` and ``_y``.
-    Give ``labelled`` as a written table: it is read once per run.
+    ``parallelism`` fits are submitted at a time, as in a cross validation. Give ``labelled``
+    as a written table: it is read once per run.
     """
     check_two_classes(states)
     train = labelled.select(
         *RUN, array_to_vector("features").alias("_x"), F.col("label").cast("double").alias("_y")
     )
     rows = candidates.withColumn("_x", array_to_vector("features"))
-    scored = []
-    for state in states:
-        model = estimator(state.n_labelled).fit(_of_run(train, state))
-        p = vector_to_array("probability")[1].alias("p")
-        scored.append(
-            model.transform(_of_run(rows, state)).select(*candidates.columns, p)
-        )
+    def fit(state: Row):
+        return estimator(state.n_labelled).fit(_of_run(train, state))
+
+    with ThreadPool(max(1, min(parallelism, len(states)))) as fits:
+        fitted = fits.map(fit, states)
+    p = vector_to_array("probability")[1].alias("p")
+    scored = [
+        model.transform(_of_run(rows, state)).select(*candidates.columns, p)
+        for state, model in zip(states, fitted)
+    ]
     return reduce(DataFrame.unionByName, scored)
 
 

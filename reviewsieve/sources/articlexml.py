@@ -23,8 +23,9 @@ NO_DOI = "DOI not available"
 FETCH_BATCH = 1000
 POST_ABOVE = 200
 
-# A document type would make the XPath parser fetch it over the network.
-_DOCTYPE = r"<!DOCTYPE[^>\[]*(\[[^\]]*\])?[^>]*>"
+# A document type would make the XPath parser fetch it over the network; it goes together
+# with the declaration, so that the rest can be put under one element of our own.
+_PROLOG = r"^\s*(<\?xml[^>]*>)?\s*|<!DOCTYPE[^>\[]*(\[[^\]]*\])?[^>]*>"
 _PARSE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 _AUTHOR = "array<struct<LastName: string, ForeName: string, CollectiveName: string>>"
 _AUTHORS = (
@@ -36,7 +37,7 @@ _AUTHORS = (
 
 def read_responses(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per landed response file: ``response`` (its path) and ``xml``."""
-    files = spark.read.option("wholetext", True).text(paths)
+    files = spark.read.text(paths, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("response"), F.col("value").alias("xml"))
 
 
@@ -52,9 +53,18 @@ def scan_records(spark: SparkSession, paths: str | list[str], tag: str, schema:
 
 
 def _checked(responses: DataFrame) -> DataFrame:
-    plain = responses.withColumn("xml", F.regexp_replace("xml", _DOCTYPE, ""))
-    parsed = F.from_xml(F.col("xml"), "_corrupt string", _PARSE)
-    return plain.withColumn("_broken", F.col("xml").isNull() | parsed["_corrupt"].isNotNull())
+    """Responses under one root element, and whether they are broken.
+
+    ``from_xml`` reads up to the end of the root: with a root of our own, that is all of it.
+    """
+    body = _without_cdata(F.regexp_replace("xml", _PROLOG, ""))
+    whole = F.concat(F.lit("<response>"), body, F.lit("</response>"))
+    parsed = F.from_xml(whole, "_corrupt string", _PARSE)
+    # What from_xml lets pass but XPath or the reader of a response would not.
+    framed = F.rlike(body, F.lit(r"(?s)^<.*>\s*$"))
+    stray = F.rlike(body, F.lit(r"[\uFFFE\uFFFF]|\]\]>"))
+    broken = body.isNull() | ~framed | stray | parsed["_corrupt"].isNotNull()
+    return responses.withColumn("_broken", broken).withColumn("xml", whole)
 
 
 def _guarded(value: Column) -> Column:
@@ -72,6 +82,20 @@ def rejected_responses(responses: DataFrame) -> DataFrame:
     return checked.withColumn("reason", reason).where("reason is not null").drop("_broken", "xml")
 
 
+def _without_cdata(xml: Column) -> Column:
+    """CDATA sections as escaped text, for XPath gives only the first of two text pieces."""
+    pieces = F.split(xml, r"<!\[CDATA\[")
+
+    def plain(piece: Column, i: Column) -> Column:
+        raw = F.substring_index(piece, "]]>", 1)
+        escaped = F.replace(F.replace(raw, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        rest = F.substr(piece, F.length(raw) + F.lit(4))
+        return F.when(i == 0, piece).otherwise(F.concat(escaped, rest))
+
+    joined = F.array_join(F.transform(pieces, plain), "")
+    return F.when(F.contains(xml, F.lit("<![CDATA[")), joined).otherwise(xml)
+
+
 def split_records(responses: DataFrame) -> DataFrame:
     """Records of the good responses: ``is_book``, ``seq`` (place in its kind) and ``xml``."""
     checked = _checked(responses)
