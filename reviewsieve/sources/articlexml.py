@@ -25,7 +25,7 @@ POST_ABOVE = 200
 
 # A document type would make the XPath parser fetch it over the network; it goes together
 # with the declaration, so that the rest can be put under one element of our own.
-_PROLOG = r"^\s*(<\?xml[^>]*>)?\s*|<!DOCTYPE[^>\[]*(\[[^\]]*\])?[^>]*>"
+_PROLOG = r"^[\s\uFEFF]*(<\?xml[^>]*>)?\s*|<!DOCTYPE[^>\[]*(\[[^\]]*\])?[^>]*>"
 _PARSE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 _AUTHOR = "array<struct<LastName: string, ForeName: string, CollectiveName: string>>"
 _AUTHORS = (
@@ -61,7 +61,7 @@ def _checked(responses: DataFrame) -> DataFrame:
     whole = F.concat(F.lit("<response>"), body, F.lit("</response>"))
     parsed = F.from_xml(whole, "_corrupt string", _PARSE)
     # What from_xml lets pass but XPath or the reader of a response would not.
-    framed = F.rlike(body, F.lit(r"(?s)^<.*>\s*$"))
+    framed = F.rlike(body, F.lit(r"(?s)^\s*<.*>\s*$"))
     stray = F.rlike(body, F.lit(r"[\uFFFE\uFFFF]|\]\]>"))
     broken = body.isNull() | ~framed | stray | parsed["_corrupt"].isNotNull()
     return responses.withColumn("_broken", broken).withColumn("xml", whole)

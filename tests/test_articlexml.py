@@ -119,7 +119,7 @@ HOSTILE = [
 
 
 def test_hostile_responses_are_rejected_and_stop_nothing(spark):
-    good = ARTICLES.replace("<PubmedArticleSet>", "\ufeff<PubmedArticleSet>", 0)
+    good = "\ufeff" + ARTICLES
     rows = [(f"bad{i}", xml) for i, xml in enumerate(HOSTILE)] + [("good", good)]
     responses = spark.createDataFrame(rows, "response string, xml string")
     rejects = {r.response for r in ax.rejected_responses(responses).collect()}
