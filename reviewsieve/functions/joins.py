@@ -12,15 +12,20 @@ HOT_MIN_ROWS = 1_000_000
 
 def hot_keys(
     df: DataFrame, keys: list[str], limit: int = HOT_KEYS, min_rows: int = HOT_MIN_ROWS
-) -> DataFrame:
-    """The most frequent keys, at most ``limit`` of them, each with ``min_rows`` or more."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return (
+) -> DataFrame | None:
+    """The most frequent keys, at most ``limit`` of them, each with ``min_rows`` or more.
+
+    Counted when the plan is built, on the key columns alone; None if there are none.
+    """
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = (
         counts.where(F.col("_rows") >= min_rows)
         .orderBy(F.desc("_rows"), *keys)
         .limit(limit)
         .select(*keys)
     )
+    few = rows.collect()
+    return F.broadcast(df.sparkSession.createDataFrame(few, rows.schema)) if few else None
 
 
 def skew_safe_join(
@@ -33,18 +38,16 @@ def skew_safe_join(
 ) -> DataFrame:
     """Left or inner join to a table with one row per key.
 
-    Rows of hot keys, and rows without a key, stay where they are and meet their partners,
-    at most ``limit`` rows, by broadcast. All other rows are shuffled, with no key above a
-    1/limit share.
+    Without hot keys it is the plain join. Otherwise rows of hot keys stay where they are
+    and meet their partners, at most ``limit`` rows, by broadcast; all other rows are
+    shuffled, with no key above a 1/limit share.
     """
-    hot = F.broadcast(hot_keys(left, keys, limit, min_rows))
-    flagged = left.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-    apart = F.col("_hot").isNotNull()
-    for key in keys:
-        apart = apart | F.col(key).isNull()
+    hot = hot_keys(left, keys, limit, min_rows)
+    if hot is None:
+        return left.join(right, keys, how)
     few = F.broadcast(right.join(hot, keys, "left_semi"))
-    spread = flagged.where(apart).drop("_hot").join(few, keys, how)
-    shuffled = flagged.where(~apart).drop("_hot").join(right, keys, how)
+    spread = left.join(hot, keys, "left_semi").join(few, keys, how)
+    shuffled = left.join(hot, keys, "left_anti").join(right, keys, how)
     return spread.unionByName(shuffled)
 
 

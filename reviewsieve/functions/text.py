@@ -19,22 +19,39 @@ def after_first_line(text: Column) -> Column:
     return F.when(cut > 0, F.substr(text, cut + F.lit(1))).otherwise(F.lit(""))
 
 
+def is_word(word: str) -> Column:
+    return F.length(word).between(WORD_MIN, WORD_MAX) & ~F.startswith(F.col(word), F.lit("_"))
+
+
+def word_runs(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), F.lit(1))
+
+
 def explode_words(df: DataFrame, keep: list[str], text: str, word: str = "word") -> DataFrame:
     """One row per kept word: lower case, 2 to 15 characters, no leading underscore."""
-    runs = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_RUN), F.lit(1))
-    return df.select(*keep, F.explode(runs).alias(word)).where(
-        F.length(word).between(WORD_MIN, WORD_MAX) & ~F.startswith(F.col(word), F.lit("_"))
-    )
+    return df.select(*keep, F.explode(word_runs(F.col(text))).alias(word)).where(is_word(word))
+
 
+def explode_article_words(
+    articles: DataFrame, keys: list[str], mark_articles: bool = False
+) -> DataFrame:
+    """Words of both fields: ``(keys, field, word)`` with field ``title`` or ``abstract``.
 
-def explode_article_words(articles: DataFrame, keys: list[str]) -> DataFrame:
-    """Words of both fields: ``(keys, field, word)`` with field ``title`` or ``abstract``."""
-    fields = F.array(
-        F.struct(F.lit("title").alias("field"), F.col("title").alias("text")),
-        F.struct(F.lit("abstract").alias("field"), F.col("abstract").alias("text")),
+    With ``mark_articles`` each article also gives one row with an empty word and no field.
+    """
+    fields = [
+        F.struct(F.lit(name).alias("field"), word_runs(F.col(name)).alias("words"))
+        for name in ("title", "abstract")
+    ]
+    if mark_articles:
+        fields.append(
+            F.struct(F.lit(None).cast("string").alias("field"), F.array(F.lit("")).alias("words"))
+        )
+    rows = articles.select(*keys, F.inline(F.array(*fields)))
+    words = rows.select(*keys, "field", F.explode("words").alias("word"))
+    return words.where((F.col("word") == "") | is_word("word")) if mark_articles else words.where(
+        is_word("word")
     )
-    rows = articles.select(*keys, F.inline(fields))
-    return explode_words(rows, [*keys, "field"], "text")
 
 
 def record_text(

@@ -59,15 +59,24 @@ def recall_curve(
     )
 
 
-def curve_auc(
-    curve: DataFrame, y: str, x: str = "effort_pct", name: str = "auc", step: str = "round"
+def curve_areas(
+    curve: DataFrame, areas: dict[str, str], x: str = "effort_pct", step: str = "round"
 ) -> DataFrame:
-    """Area under each run's curve by the trapezoid rule."""
-    pairs = with_previous(curve.select(*RUN, step, x, y), RUN, step, [x, y])
-    slab = (F.col(x) - F.col(f"prev_{x}")) * (F.col(y) + F.col(f"prev_{y}")) / 2
-    return pairs.groupBy(*RUN).agg(
-        F.when(F.count_if(F.col(y).isNull()) == 0, F.coalesce(F.sum(slab), F.lit(0.0))).alias(name)
-    )
+    """Areas under each run's curves by the trapezoid rule; ``areas`` maps name to curve."""
+    ys = list(areas.values())
+    pairs = with_previous(curve.select(*RUN, step, x, *ys), RUN, step, [x, *ys])
+
+    def area(y: str) -> Column:
+        slab = (F.col(x) - F.col(f"prev_{x}")) * (F.col(y) + F.col(f"prev_{y}")) / 2
+        whole = F.count_if(F.col(y).isNull()) == 0
+        return F.when(whole, F.coalesce(F.sum(slab), F.lit(0.0)))
+
+    return pairs.groupBy(*RUN).agg(*[area(y).alias(name) for name, y in areas.items()])
+
+
+def curve_auc(curve: DataFrame, y: str, x: str = "effort_pct", name: str = "auc") -> DataFrame:
+    """Area under one curve of each run."""
+    return curve_areas(curve, {name: y}, x)
 
 
 def policy_summary(areas: DataFrame) -> DataFrame:

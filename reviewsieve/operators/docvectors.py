@@ -9,7 +9,7 @@ from reviewsieve.functions.hashing import draw
 from reviewsieve.functions.joins import HOT_MIN_ROWS, skew_safe_join
 from reviewsieve.functions.ranking import draw_rank
 from reviewsieve.functions.text import explode_article_words
-from reviewsieve.session import BROADCAST_MAX_BYTES
+from reviewsieve.session import BROADCAST_MAX_BYTES, cut_lineage
 
 
 def word_counts(articles: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,21 +45,25 @@ def document_vectors(
     Words without a vector are left out; a field without any known word gives zeros.
     ``vectors`` has one row per word. It is broadcast only if the whole table, measured
     first, is below the limit: then words meet vectors inside the scan's own tasks and
-    only sums are shuffled. Beyond it, counts per (article, field, word) are joined by
+    only sums are shuffled, or nothing if articles come partitioned by one of ``keys``.
+    Beyond it, counts per (article, field, word) are joined by
     shuffle, and the few words that fill a large share of it by broadcast.
     """
     size, total = vocabulary_stats(vectors)
-    words = explode_article_words(articles, keys)
+    # Every article gives one empty word, and that word a null vector: so an article
+    # without any known word stays, without a second look at the articles.
+    words = explode_article_words(articles, keys, mark_articles=True)
+    empty = vectors.sparkSession.range(1).select(
+        F.lit("").alias("word"), F.lit(None).cast("array<float>").alias("vector")
+    )
+    vectors = vectors.select("word", "vector").unionByName(empty)
     if total <= max_broadcast_bytes:
         known = words.join(F.broadcast(vectors), "word").withColumn("tf", F.lit(1))
     else:
         counted = words.groupBy(*keys, "field", "word").agg(F.count(F.lit(1)).alias("tf"))
-        known = skew_safe_join(counted, vectors, ["word"], "inner", min_rows=hot_rows)
-    # One row per article with nothing in it keeps articles without any known word.
-    blank = articles.select(*keys)
-    known = known.select(*keys, "field", "tf", "vector").unionByName(
-        blank, allowMissingColumns=True
-    )
+        known = skew_safe_join(
+            cut_lineage(counted), vectors, ["word"], "inner", min_rows=hot_rows
+        )
     fields = ("title", "abstract")
     # As SQL text: a wide list of sums is built much faster so than call by call.
     of = "sum(case when field = '{}' then {} end) as {}"

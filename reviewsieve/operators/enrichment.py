@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewsieve.functions.joins import HOT_MIN_ROWS, skew_safe_join
+from reviewsieve.functions.joins import HOT_KEYS, HOT_MIN_ROWS, hot_keys, last_version
 
 
 def enrich_judgements(
@@ -14,16 +14,24 @@ def enrich_judgements(
     """All judgements of all topics, left joined to the last record of their pmid.
 
     Which record is last is settled on ``(pmid, seq)`` alone, so the texts are shuffled
-    once. Both joins stay even if one pmid is judged in a large share of the rows.
+    once, and copies of one record spread by ``seq``. If some pmids are judged in very many
+    rows, the last records of these few are broadcast to the rows instead.
     ``seq`` orders the records of one pmid and is unique among them.
     """
     text = F.col("pmid").cast("string")
+    columns = judged.columns
     judged = judged.withColumn("pmid", text)
-    records = records.withColumn("pmid", text)
+    records = records.withColumn("pmid", text).select("pmid", "title", "abstract", seq)
+    hot = hot_keys(judged, ["pmid"], HOT_KEYS, hot_rows)
+    rest = judged if hot is None else judged.join(hot, "pmid", "left_anti")
     last = records.groupBy("pmid").agg(F.max(seq).alias(seq))
-    placed = skew_safe_join(judged, last, ["pmid"], "left", min_rows=hot_rows)
-    joined = skew_safe_join(placed, records, ["pmid", seq], "left", min_rows=hot_rows)
-    return joined.select(*judged.columns, "title", "abstract")
+    joined = rest.join(last, "pmid", "left").join(records, ["pmid", seq], "left")
+    joined = joined.select(*columns, "title", "abstract")
+    if hot is None:
+        return joined
+    few = last_version(records.join(hot, "pmid", "left_semi"), ["pmid"], seq)
+    spread = judged.join(hot, "pmid", "left_semi").join(F.broadcast(few), "pmid", "left")
+    return joined.unionByName(spread.select(*columns, "title", "abstract"))
 
 
 def without_record(enriched: DataFrame) -> DataFrame:

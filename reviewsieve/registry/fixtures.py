@@ -9,7 +9,8 @@ from reviewsieve.functions.hashing import draw, unit_draw
 from reviewsieve.functions.ranking import draw_rank
 from reviewsieve.functions.text import after_first_line, explode_article_words, first_line
 from reviewsieve.operators.policies import POLICIES
-from reviewsieve.operators.pool import RUN, run_state
+from reviewsieve.operators.pool import RUN, candidates, pool, run_state
+from reviewsieve.session import cut_lineage, widen
 
 STUDY_POLICIES = ("uncertainty", "certainty", "random", "alternating")
 RUNS = 3
@@ -23,15 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for work on their texts, over all cores even if they are in one file."""
+    return widen(table(spark, sf_dir, "documents").select(*columns), "doc_id")
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as articles: topic is the language, the first line is the title."""
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "doc_id", "lang", "text").select(
         F.col("lang").alias("topic"), F.col("doc_id").alias("pmid"),
         first_line(text).alias("title"), after_first_line(text).alias("abstract"),
     )
 
 
+def article_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("topic"), F.col("doc_id").alias("pmid")
+    )
+
+
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return table(spark, sf_dir, "labels").join(documents, "doc_id").select(
@@ -42,7 +54,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ready-made vectors as one topic; class 0 of ten is the included one."""
     return table(spark, sf_dir, "embeddings").select(
-        F.lit("vectors").alias("topic"),
+        F.when(F.col("vec_id").isNotNull(), "vectors").alias("topic"),
         F.col("vec_id").alias("pmid"),
         F.col("embedding").cast("array<double>").alias("features"),
         (F.col("label") == 0).cast("int").alias("label"),
@@ -50,11 +62,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector for every word whose hash slot is the id of an embedding."""
+    """A written table: a vector for every word whose hash slot is the id of an embedding."""
     words = explode_article_words(articles(spark, sf_dir), ["pmid"]).select("word").distinct()
     slot = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % VECTOR_SLOTS
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return words.withColumn("vec_id", slot).join(vectors, "vec_id").select("word", "vector")
+    return cut_lineage(
+        words.withColumn("vec_id", slot).join(vectors, "vec_id").select("word", "vector")
+    )
 
 
 def qrels_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +117,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     A title goes on behind a child element, a blank abstract has no element at all.
     """
     text = F.col("text")
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", "n_chars",
+    columns = ("doc_id", "lang", "source", "n_chars")
+    docs = documents(spark, sf_dir, *columns, "text").select(
+        *columns,
         _xml_text(first_line(text)).alias("title"),
         _xml_text(after_first_line(text)).alias("abstract"),
     )
@@ -158,7 +173,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One response per document: an error for Spanish, cut off for French, else good."""
     text = _xml_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "doc_id", "lang", "text").select(
         F.col("doc_id").alias("response"),
         F.when(
             F.col("lang") == "es",
@@ -170,7 +185,7 @@ def mixed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reveal_log(rows: DataFrame, policies: tuple[str, ...] = STUDY_POLICIES) -> DataFrame:
+def _reviews(rows: DataFrame, policies: tuple[str, ...]) -> DataFrame:
     """A whole review per policy and run in drawn order: 4 seeds, then 25 a round."""
     starts = [
         F.struct(
@@ -193,15 +208,18 @@ def reveal_log(rows: DataFrame, policies: tuple[str, ...] = STUDY_POLICIES) -> D
     )
 
 
+def reveal_log(rows: DataFrame, policies: tuple[str, ...] = STUDY_POLICIES) -> DataFrame:
+    """Whole reviews as a written log, as reveal logs are."""
+    return cut_lineage(_reviews(rows, policies))
+
+
 def log_so_far(rows: DataFrame, policies: tuple[str, ...]) -> DataFrame:
-    """The same reviews broken off: run r has done r + 1 rounds."""
-    return reveal_log(rows, policies).where(F.col("round") <= F.col("run") + 1)
+    """The same reviews broken off, as a written log: run r has done r + 1 rounds."""
+    return cut_lineage(_reviews(rows, policies).where(F.col("round") <= F.col("run") + 1))
 
 
 def scored_pool(rows: DataFrame, policies: tuple[str, ...]) -> DataFrame:
     """The whole pools of broken-off reviews, with their next round, recall and a drawn p."""
-    from reviewsieve.operators.pool import candidates, pool
-
     log = log_so_far(rows, policies)
     state = run_state(log, rows).select(*RUN, (F.col("last_round") + 1).alias("round"), "recall")
     here = pool(rows.select("topic", "pmid"), log).join(state, RUN)

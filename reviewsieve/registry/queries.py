@@ -119,7 +119,7 @@ def record_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fetch_plan(spark: SparkSession, d: str) -> DataFrame:
-    return articlexml.fetch_plan(fx.articles(spark, d).select("topic", "pmid"))
+    return articlexml.fetch_plan(fx.article_ids(spark, d))
 
 
 def word_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ def doc_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shuffle(spark: SparkSession, d: str) -> DataFrame:
-    return docvectors.shuffled_articles(fx.articles(spark, d).select("topic", "pmid"))
+    return docvectors.shuffled_articles(fx.article_ids(spark, d))
 
 
 def start_pool(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 def margins(spark: SparkSession, d: str) -> DataFrame:
     from reviewsieve.functions.hashing import unit_draw
 
-    rows = fx.articles(spark, d).select("topic", "pmid", unit_draw(F.lit("p"), "pmid").alias("p"))
+    rows = fx.article_ids(spark, d).select("topic", "pmid", unit_draw(F.lit("p"), "pmid").alias("p"))
     return rows.select("topic", "pmid", F.round(policies.margin("p"), 6).alias("margin"))
 
 
@@ -310,9 +310,8 @@ def policy_summary(spark: SparkSession, d: str) -> DataFrame:
     both = curves.recall_curve(log, rows).join(
         coverage.coverage_curve(log, rows), [*RUN, "round"]
     )
-    recall = curves.curve_auc(both, "recall_pct", name="auc_recall")
-    covered = curves.curve_auc(both, "coverage_pct", name="auc_coverage")
-    return curves.policy_summary(recall.join(covered, RUN)).select(
+    areas = curves.curve_areas(both, {"auc_recall": "recall_pct", "auc_coverage": "coverage_pct"})
+    return curves.policy_summary(areas).select(
         "topic", "policy", "runs", _r("auc_recall"), _r("auc_coverage"), "line"
     )
 

@@ -57,6 +57,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if small else df
 
 
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan of fewer parts than cores (say, one large file) over all cores by key.
+
+    A scan that is wide enough already, as any at scale, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def fresh(df: DataFrame) -> DataFrame:
     """The same table under new column identities, for a join with a table it comes from."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])

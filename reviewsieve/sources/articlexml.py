@@ -68,21 +68,6 @@ def _checked(responses: DataFrame) -> DataFrame:
     return responses.withColumn("_broken", broken).withColumn("xml", whole)
 
 
-def _guarded(value: Column) -> Column:
-    return F.when(~F.col("_broken"), value)
-
-
-def rejected_responses(responses: DataFrame) -> DataFrame:
-    """Responses that are no XML or carry an ``ERROR`` element, each with the reason."""
-    checked = _checked(responses)
-    has_error = _guarded(F.xpath_boolean("xml", F.lit("boolean(//ERROR)")))
-    error = _guarded(F.xpath_string("xml", F.lit("(//ERROR)[1]")))
-    reason = F.when(F.col("_broken"), F.lit("not well formed")).when(
-        has_error, F.concat(F.lit("error: "), error)
-    )
-    return checked.withColumn("reason", reason).where("reason is not null").drop("_broken", "xml")
-
-
 def _without_cdata(xml: Column) -> Column:
     """CDATA sections as escaped text, for XPath gives only the first of two text pieces."""
     pieces = F.split(xml, r"<!\[CDATA\[")
@@ -97,32 +82,54 @@ def _without_cdata(xml: Column) -> Column:
     return F.when(F.contains(xml, F.lit("<![CDATA[")), joined).otherwise(xml)
 
 
+def _has_error() -> Column:
+    """Whether there is an ``ERROR`` element; most texts do not even hold its name."""
+    named = F.contains("xml", F.lit("<ERROR"))
+    return F.when(named, F.xpath_boolean("xml", F.lit("boolean(//ERROR)"))).otherwise(False)
+
+
+def rejected_responses(responses: DataFrame) -> DataFrame:
+    """Responses that are no XML or carry an ``ERROR`` element, each with the reason."""
+    error = F.xpath_string("xml", F.lit("(//ERROR)[1]"))
+    reason = F.when(F.col("_broken"), F.lit("not well formed")).when(
+        _has_error(), F.concat(F.lit("error: "), error)
+    )
+    checked = _checked(responses).withColumn("reason", reason)
+    return checked.where("reason is not null").drop("_broken", "xml")
+
+
 def split_records(responses: DataFrame) -> DataFrame:
     """Records of the good responses: ``is_book``, ``seq`` (place in its kind) and ``xml``."""
-    checked = _checked(responses)
-    has_error = F.xpath_boolean("xml", F.lit("boolean(//ERROR)"))
-    xml = F.when(~F.col("_broken"), F.when(~has_error, F.col("xml")))
+    xml = F.when(~F.col("_broken"), F.when(~_has_error(), F.col("xml")))
     others = [c for c in responses.columns if c != "xml"]
 
-    def records(tag: str, is_book: bool) -> DataFrame:
-        found = F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}[\s>].*?</{tag}\s*>"), F.lit(0))
-        return checked.select(
-            *others, F.lit(is_book).alias("is_book"), F.posexplode(found).alias("seq", "xml")
+    def records(tag: str, is_book: bool) -> Column:
+        found = F.regexp_extract_all("xml", F.lit(rf"(?s)<{tag}[\s>].*?</{tag}\s*>"), F.lit(0))
+        return F.transform(
+            found,
+            lambda x, i: F.struct(F.lit(is_book).alias("is_book"), i.alias("seq"), x.alias("xml")),
         )
 
-    return records(ARTICLE_TAG, False).unionByName(records(BOOK_TAG, True))
+    good = _checked(responses).withColumn("xml", xml)
+    both = F.concat(records(ARTICLE_TAG, False), records(BOOK_TAG, True))
+    return good.select(*others, F.inline(both))
 
 
 def first_text(tag_path: str, missing: Column) -> Column:
     """Text of the first such element up to its first child element.
 
     ``missing`` where there is no such element, null where it holds no such text. The
-    element comes back as a null entry ahead of its texts, so one XPath call tells all.
+    element comes back as a null entry ahead of its texts, so one XPath call tells all; it
+    is bound to a name (a list of one) so that it is made once.
     """
     found = F.xpath(
         "xml", F.lit(f"({tag_path})[1] | ({tag_path})[1]/text()[not(preceding-sibling::*)]")
     )
-    return F.when(F.size(found) == 0, missing).when(F.size(found) > 1, F.array_join(found, ""))
+    value = F.transform(
+        F.array(found),
+        lambda f: F.when(F.size(f) == 0, missing).when(F.size(f) > 1, F.array_join(f, "")),
+    )
+    return F.get(value, F.lit(0))
 
 
 def full_text(tag_path: str, missing: Column) -> Column:
