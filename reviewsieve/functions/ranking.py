@@ -14,10 +14,16 @@ from reviewsieve.session import cut_lineage
 
 # Up to this k Spark limits each task's rows before the shuffle of a ranked window.
 GROUP_LIMIT = 1000
+# Parts a group is spread over before its first k rows meet.
+SPREAD = 64
 # Hex digits of a draw that name its bucket: 16^3 = 4096 even buckets per group.
 DRAW_DIGITS = 3
 
 
+def _div(column: str, width: int) -> Column:
+    return F.expr(f"`{column}` div {width}")
+
+
 def _before(df: DataFrame, keys: list[str], bucket: str, sums: dict[str, Column]) -> DataFrame:
     """Per bucket, the totals of all earlier buckets of the same group."""
     totals = df.groupBy(*keys, bucket).agg(*[c.alias(n) for n, c in sums.items()])
@@ -67,7 +73,7 @@ def id_rank(
 
     A bucket spans ``width`` ids, hence holds at most ``width`` rows.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(id_col) / F.lit(width)))
+    bucketed = df.withColumn("_bucket", _div(id_col, width))
     return _rank_in_buckets(bucketed, keys, "_bucket", [id_col], name)
 
 
@@ -82,15 +88,21 @@ def range_rank(df: DataFrame, keys: list[str], order: list[Column], name: str =
     return _rank_in_buckets(parts, keys, "_bucket", order, name)
 
 
-def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:
+def first_k(
+    df: DataFrame, keys: list[str], order: list[Column], k: int, name: str, spread_by: str = "pmid"
+) -> DataFrame:
     """The first ``k`` rows of each group with their rank.
 
-    For small ``k`` every task keeps at most k rows per group before the shuffle; for
-    larger ``k`` the rows are ranked over a range-partitioned sort.
+    For small ``k`` every task keeps at most k rows per group before the shuffle, the rest
+    goes to ``SPREAD`` parts of the group that do so again, and at most k rows of each part
+    meet in one task. For larger ``k`` the rows are ranked over a range-partitioned sort.
     """
     if k <= GROUP_LIMIT:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)))
+        for cells in ([*keys, "_salt"], keys):
+            window = Window.partitionBy(*cells).orderBy(*order)
+            salted = salted.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
+        return salted.drop("_salt")
     return range_rank(df, keys, order, name).where(F.col(name) <= k)
 
 
@@ -99,7 +111,7 @@ def first_k_drawn(
 ) -> DataFrame:
     """The first ``k`` rows of each group in draw order with their rank."""
     if k <= GROUP_LIMIT:
-        return first_k(df, keys, [F.col(draw), *[F.col(t) for t in ties]], k, name)
+        return first_k(df, keys, [F.col(draw), *[F.col(t) for t in ties]], k, name, ties[0])
     return draw_rank(df, keys, draw, ties, name, k)
 
 
@@ -110,7 +122,7 @@ def sums_before(
 
     ``sums`` maps new column to summed column. ``step`` is a whole number, one row each.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(step) / F.lit(width)))
+    bucketed = df.withColumn("_bucket", _div(step, width))
     before = _before(
         bucketed, keys, "_bucket", {f"_{new}": F.sum(old) for new, old in sums.items()}
     )
@@ -130,7 +142,7 @@ def with_previous(
     df: DataFrame, keys: list[str], step: str, columns: list[str], width: int = 4096
 ) -> DataFrame:
     """Add ``prev_<column>`` from the row before (null on a group's first row)."""
-    bucketed = df.withColumn("_bucket", F.floor(F.col(step) / F.lit(width)))
+    bucketed = df.withColumn("_bucket", _div(step, width))
     last = bucketed.groupBy(*keys, "_bucket").agg(
         F.max(F.struct(step, *columns)).alias("_last")
     )

@@ -78,23 +78,25 @@ def score(
     return reduce(DataFrame.unionByName, scored)
 
 
-def cluster(candidates: DataFrame, states: list[Row], k: int, seed: int = 0) -> DataFrame:
-    """Candidates with ``cluster``: k-means per run, k no larger than its candidates."""
+def cluster(
+    candidates: DataFrame, states: list[Row], k: int, seed: int = 0, parallelism: int = 8
+) -> DataFrame:
+    """Candidates with ``cluster``: k-means per run, k no larger than its candidates.
+
+    Give ``candidates`` as a written table: it is read once per run.
+    """
     rows = candidates.withColumn("_x", array_to_vector("features"))
-    clustered = []
-    for state in states:
+
+    def clustered(state: Row) -> DataFrame:
         own = _of_run(rows, state)
         n = min(k, own.limit(k).count())
-        if n == 0:
-            continue
-        if n == 1:
-            clustered.append(own.drop("_x").withColumn("cluster", F.lit(0)))
-            continue
+        if n < 2:
+            return own.withColumn("cluster", F.lit(0)).select(*candidates.columns, "cluster")
         model = KMeans(k=n, seed=seed, featuresCol="_x", predictionCol="cluster").fit(own)
-        clustered.append(model.transform(own).select(*candidates.columns, "cluster"))
-    if not clustered:
-        return candidates.where(F.lit(False)).withColumn("cluster", F.lit(0))
-    return reduce(DataFrame.unionByName, clustered)
+        return model.transform(own).select(*candidates.columns, "cluster")
+
+    with ThreadPool(max(1, min(parallelism, len(states)))) as fits:
+        return reduce(DataFrame.unionByName, fits.map(clustered, states))
 
 
 def project(features: DataFrame, keys: list[str]) -> DataFrame:

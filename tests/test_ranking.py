@@ -50,15 +50,15 @@ def test_first_k_small_and_large(spark, monkeypatch):
     df = rows(spark)
     order = [F.col("v"), F.col("id")]
     want = plain(df, order).where("pos <= 120")
-    same(ranking.first_k(df, ["g"], order, 120, "pos"), want, ["g", "id", "pos"])
+    same(ranking.first_k(df, ["g"], order, 120, "pos", "id"), want, ["g", "id", "pos"])
     monkeypatch.setattr(ranking, "GROUP_LIMIT", 10)
-    same(ranking.first_k(df, ["g"], order, 120, "pos"), want, ["g", "id", "pos"])
+    same(ranking.first_k(df, ["g"], order, 120, "pos", "id"), want, ["g", "id", "pos"])
     drawn = plain(df, ["d", "id"]).where("pos <= 120")
     same(ranking.first_k_drawn(df, ["g"], "d", ["id"], 120, "pos"), drawn, ["g", "id", "pos"])
 
 
 def test_group_limit_reaches_the_plan(spark, capsys):
-    ranking.first_k(rows(spark), ["g"], [F.col("v")], 5, "pos").explain()
+    ranking.first_k(rows(spark), ["g"], [F.col("v")], 5, "pos", "id").explain()
     assert "WindowGroupLimit" in capsys.readouterr().out
 
 
