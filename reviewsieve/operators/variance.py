@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from reviewsieve.functions.vectors import mean_vectors, vector_size
 from reviewsieve.operators.policies import nearest_to_mean
 from reviewsieve.operators.pool import ROUND, RUN
-from reviewsieve.session import broadcast_if_small, cut_lineage, fresh
+from reviewsieve.session import cut_lineage, fresh
 
 # Drawn batches up to this size are worked on in one task per run; larger ones in passes.
 BATCH_IN_TASK = 20_000
@@ -90,15 +90,17 @@ def _greedy_or_none(k: int):
 def _passes(candidates: DataFrame, centres: DataFrame, k: int) -> DataFrame:
     rows = candidates.select(*ROUND, "pmid", "draw", "features")
     centres = cut_lineage(centres)
+    # One row per run and pass: picks are as few as runs, and runs are counted.
+    few_runs = centres.count() <= MAX_RUNS
+    small = F.broadcast if few_runs else (lambda df: df)
     picked: DataFrame | None = None
     for step in range(1, k + 1):
         rest = rows
         if picked is not None:
-            rest = rows.join(F.broadcast(picked.select(*RUN, "pmid")), [*RUN, "pmid"], "left_anti")
-        few = broadcast_if_small(centres, MAX_RUNS)
-        best = nearest_to_mean(rest, few, RUN)
+            rest = rows.join(small(picked.select(*RUN, "pmid")), [*RUN, "pmid"], "left_anti")
+        best = nearest_to_mean(rest, small(centres), RUN)
         now = cut_lineage(
-            rows.join(F.broadcast(best), [*RUN, "pmid"], "left_semi")
+            rows.join(small(best), [*RUN, "pmid"], "left_semi")
             .withColumn("rank_in_round", F.lit(step))
         )
         picked = now if picked is None else picked.unionByName(now)

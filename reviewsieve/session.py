@@ -50,11 +50,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast a table of short rows, but only after counting it.
 
-    Beyond the limit the table is returned as it is and Spark shuffles the join.
-    The count stops at ``max_rows + 1`` rows.
+    Beyond the limit the table is returned as it is and Spark shuffles the join. Give a
+    written table or a cheap selection of one, for it is read once more.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def widen(df: DataFrame, key: str) -> DataFrame:
