@@ -45,7 +45,7 @@ def test_both_joins_give_the_means(articles, vectors, limit, hot):
     assert not got
 
 
-def test_large_vocabulary_is_not_broadcast(articles, vectors, capsys):
+def test_measured_vocabulary_is_broadcast(articles, vectors, capsys):
     docvectors.document_vectors(articles, vectors, ["pmid"], 10**9).explain()
     assert "BroadcastHashJoin [word" in capsys.readouterr().out
 
