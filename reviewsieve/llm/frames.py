@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Bytes of texts that reach a Python task at once; one longer row comes alone.
 BATCH_BYTES = 8 * 1024 * 1024
@@ -41,3 +42,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """A text column as strings; null is the empty text."""
     return [t or "" for t in column.to_pylist()]
+
+
+def remainder(column: str, modulus: int) -> Column:
+    """crc32 of the column as text, modulo ``modulus``; null counts as the empty text."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(modulus))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewsieve.llm import chat, jaccard, packing, sharding
-from reviewsieve.llm.frames import table
+from reviewsieve.llm import chat, jaccard, langid, ngramlm, packing, sharding, toxicity
+from reviewsieve.llm.frames import remainder, table
 
 
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,38 @@ def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path)
 
 
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    held_out = (remainder("doc_id", 4) == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(remainder("doc_id", 5) != 0))
+    held_out = (remainder("doc_id", 5) == 0).alias("held_out")
+    return langid.identify(docs, model).select(
+        "doc_id", held_out, "lang_pred", "score", "cross_entropy", "rejected"
+    )
+
+
+def text_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngramlm.train(docs.where(remainder("doc_id", 5) != 1))
+    return ngramlm.score(docs, model).select(
+        "doc_id",
+        (remainder("doc_id", 5) == 1).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "perplexity",
+    )
+
+
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     added = spark.sql(
@@ -52,8 +84,11 @@ def uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard,
     "op2_packing": packed_documents,
+    "op3_toxicity": toxic_scores,
     "op4_chat_formatting": chat_formatting,
+    "op7_language_id": languages,
     "op9_sharding": uniform_shards,
+    "op10_lm_scoring": text_probabilities,
 }
 
 ORACLES: dict[str, str] = {}

@@ -144,3 +144,59 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
             else:
                 out.append(runs(found.hash[a:b], b - a) if b > a else np.empty(0, np.uint64))
     return out
+
+
+def letter_stream(texts: list[str], pad: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of the texts in lower case, each run of other signs one blank; and text bounds.
+
+    Every text begins with ``pad`` blanks and ends with one. A text without letters is its
+    blanks alone. Values are code points as unsigned 64-bit numbers.
+    """
+    points, first = code_points([t.lower() for t in texts])
+    letter = classify(points, str.isalpha) > 0
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    # The blank that ends a text stays if a letter stands before it.
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    size = kept[first[1:]] - kept[first[:-1]]
+    bare = size == 0
+    bounds = np.concatenate(([0], np.cumsum(size + pad + bare)))
+    out = np.full(bounds[-1], 0x20, np.uint64)
+    place = np.flatnonzero(keep)
+    text = np.searchsorted(first, place, "right") - 1
+    shift = bounds[text] + pad - kept[first[text]]
+    out[shift + kept[place]] = np.where(letter[place], points[place], 0x20)
+    return out, bounds
+
+
+class HashArray:
+    """Sorted 64-bit hashes with a table of where each leading bit pattern begins."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        bits = max(1, int(len(hashes)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        heads = (hashes >> self.shift).astype(np.int64)
+        self.begin = np.searchsorted(heads, np.arange((1 << bits) + 1)).astype(np.int32)
+        self.depth = int(np.diff(self.begin).max()) if len(hashes) else 0
+        self.padded = np.append(hashes, np.zeros(self.depth + 1, np.uint64))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 where it is not held."""
+        out = np.full(len(keys), -1, np.int32)
+        left, at = None, self.begin[keys >> self.shift]
+        for _ in range(self.depth):
+            wanted = keys if left is None else keys[left]
+            held = self.padded[at]
+            same = held == wanted
+            if left is None:
+                out[same] = at[same]
+                left = np.flatnonzero(~same)
+            else:
+                out[left[same]] = at[same]
+                left = left[~same]
+            at = at[~same] + np.int32(1)
+            if not len(left):
+                break
+        out[out >= len(self.hashes)] = -1
+        return out
