@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewsieve.llm import chat, jaccard, langid, ngramlm, packing, sharding, toxicity
+from reviewsieve.llm import (
+    chat,
+    jaccard,
+    langid,
+    nearest,
+    ngramlm,
+    packing,
+    sharding,
+    toxicity,
+    warc,
+)
 from reviewsieve.llm.frames import remainder, table
 
 
@@ -52,6 +62,11 @@ def text_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     added = spark.sql(
@@ -86,6 +101,8 @@ QUERIES = {
     "op2_packing": packed_documents,
     "op3_toxicity": toxic_scores,
     "op4_chat_formatting": chat_formatting,
+    "op5_nearest_neighbours": nearest_vectors,
+    "op6_warc": warc.archive,
     "op7_language_id": languages,
     "op9_sharding": uniform_shards,
     "op10_lm_scoring": text_probabilities,
