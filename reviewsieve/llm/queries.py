@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewsieve.llm import (
     chat,
+    decontaminate,
     jaccard,
     langid,
     nearest,
@@ -67,6 +68,11 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     added = spark.sql(
@@ -104,6 +110,7 @@ QUERIES = {
     "op5_nearest_neighbours": nearest_vectors,
     "op6_warc": warc.archive,
     "op7_language_id": languages,
+    "op8_decontamination": benchmark_matches,
     "op9_sharding": uniform_shards,
     "op10_lm_scoring": text_probabilities,
 }
