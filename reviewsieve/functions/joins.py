@@ -5,27 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many hot keys are split off, so any other key holds less than 1/200 of rows.
-HOT_KEYS = 200
+from reviewsieve.session import broadcast_if_small, cut_lineage
+
+# Keys with so many rows are split off, however many such keys there are.
 HOT_MIN_ROWS = 1_000_000
 
 
 def hot_keys(
-    df: DataFrame, keys: list[str], limit: int = HOT_KEYS, min_rows: int = HOT_MIN_ROWS
+    df: DataFrame, keys: list[str], min_rows: int = HOT_MIN_ROWS
 ) -> DataFrame | None:
-    """The most frequent keys, at most ``limit`` of them, each with ``min_rows`` or more.
+    """All keys with ``min_rows`` rows or more, as a written table; None if there are none.
 
-    Counted when the plan is built, on the key columns alone; None if there are none.
+    Counted when the plan is built, on the key columns alone. There are at most
+    rows / ``min_rows`` of them.
     """
     counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    rows = (
-        counts.where(F.col("_rows") >= min_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(limit)
-        .select(*keys)
-    )
-    few = rows.collect()
-    return F.broadcast(df.sparkSession.createDataFrame(few, rows.schema)) if few else None
+    hot = cut_lineage(counts.where(F.col("_rows") >= min_rows).select(*keys))
+    return broadcast_if_small(hot) if hot.limit(1).count() else None
 
 
 def skew_safe_join(
@@ -33,19 +29,18 @@ def skew_safe_join(
     right: DataFrame,
     keys: list[str],
     how: str = "left",
-    limit: int = HOT_KEYS,
     min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Left or inner join to a table with one row per key.
 
     Without hot keys it is the plain join. Otherwise rows of hot keys stay where they are
-    and meet their partners, at most ``limit`` rows, by broadcast; all other rows are
-    shuffled, with no key above a 1/limit share.
+    and meet their partners, one row for each hot key, by broadcast if those are few; all
+    other rows are shuffled, with no key above ``min_rows``.
     """
-    hot = hot_keys(left, keys, limit, min_rows)
+    hot = hot_keys(left, keys, min_rows)
     if hot is None:
         return left.join(right, keys, how)
-    few = F.broadcast(right.join(hot, keys, "left_semi"))
+    few = broadcast_if_small(right.join(hot, keys, "left_semi"))
     spread = left.join(hot, keys, "left_semi").join(few, keys, how)
     shuffled = left.join(hot, keys, "left_anti").join(right, keys, how)
     return spread.unionByName(shuffled)

@@ -24,30 +24,45 @@ def _div(column: str, width: int) -> Column:
     return F.expr(f"`{column}` div {width}")
 
 
-def _before(df: DataFrame, keys: list[str], bucket: str, sums: dict[str, Column]) -> DataFrame:
+def _bucketed(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """``_group``, the keys in one struct, and ``_bucket``; rows without a bucket come first.
+
+    A struct is never null, and structs whose fields are null in the same places are equal:
+    so groups with null keys are joined like all others.
+    """
+    kind = df.select(bucket.alias("b")).schema["b"].dataType.simpleString()
+    first = F.lit("") if kind == "string" else F.lit(-(2**62)).cast(kind)
+    return df.withColumns(
+        {"_group": F.struct(*keys) if keys else F.struct(F.lit(0)), "_bucket": F.coalesce(bucket, first)}
+    )
+
+
+def _before(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """Per bucket, the totals of all earlier buckets of the same group."""
-    totals = df.groupBy(*keys, bucket).agg(*[c.alias(n) for n, c in sums.items()])
+    totals = df.groupBy("_group", "_bucket").agg(*[c.alias(n) for n, c in sums.items()])
     earlier = (
-        Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
     return totals.select(
-        *keys, bucket, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums]
+        "_group", "_bucket",
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums],
     )
 
 
 def _rank_in_buckets(
-    df: DataFrame, keys: list[str], bucket: str, order: list, name: str, k: int | None = None
+    df: DataFrame, keys: list[str], bucket: Column, order: list, name: str, k: int | None = None
 ) -> DataFrame:
-    before = _before(df, keys, bucket, {"_before": F.count(F.lit(1))})
+    df = _bucketed(df, keys, bucket)
+    before = _before(df, {"_before": F.count(F.lit(1))})
     if k is not None:
         before = before.where(F.col("_before") < k)
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    ranked = df.join(before, [*keys, bucket]).withColumn(
+    inside = Window.partitionBy("_group", "_bucket").orderBy(*order)
+    ranked = df.join(before, ["_group", "_bucket"]).withColumn(
         name, F.col("_before") + F.row_number().over(inside)
     )
     if k is not None:
         ranked = ranked.where(F.col(name) <= k)
-    return ranked.drop("_before", bucket)
+    return ranked.drop("_before", "_group", "_bucket")
 
 
 def draw_rank(
@@ -62,8 +77,7 @@ def draw_rank(
 
     With ``k``, whole buckets behind the k-th row are dropped before the shuffle.
     """
-    bucketed = df.withColumn("_bucket", F.substring(draw, 1, DRAW_DIGITS))
-    return _rank_in_buckets(bucketed, keys, "_bucket", [draw, *ties], name, k)
+    return _rank_in_buckets(df, keys, F.substring(draw, 1, DRAW_DIGITS), [draw, *ties], name, k)
 
 
 def id_rank(
@@ -73,8 +87,7 @@ def id_rank(
 
     A bucket spans ``width`` ids, hence holds at most ``width`` rows.
     """
-    bucketed = df.withColumn("_bucket", _div(id_col, width))
-    return _rank_in_buckets(bucketed, keys, "_bucket", [id_col], name)
+    return _rank_in_buckets(df, keys, _div(id_col, width), [id_col], name)
 
 
 def range_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "pos") -> DataFrame:
@@ -84,8 +97,8 @@ def range_rank(df: DataFrame, keys: list[str], order: list[Column], name: str =
     partitioned rows are written once before they are counted and ranked.
     """
     parts = df.repartitionByRange(*[F.col(c) for c in keys], *order)
-    parts = cut_lineage(parts.withColumn("_bucket", F.spark_partition_id()))
-    return _rank_in_buckets(parts, keys, "_bucket", order, name)
+    parts = cut_lineage(parts.withColumn("_part", F.spark_partition_id()))
+    return _rank_in_buckets(parts, keys, F.col("_part"), order, name).drop("_part")
 
 
 def first_k(
@@ -122,35 +135,33 @@ def sums_before(
 
     ``sums`` maps new column to summed column. ``step`` is a whole number, one row each.
     """
-    bucketed = df.withColumn("_bucket", _div(step, width))
-    before = _before(
-        bucketed, keys, "_bucket", {f"_{new}": F.sum(old) for new, old in sums.items()}
-    )
+    bucketed = _bucketed(df, keys, _div(step, width))
+    before = _before(bucketed, {f"_{new}": F.sum(old) for new, old in sums.items()})
     inside = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy("_group", "_bucket")
         .orderBy(step)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = bucketed.join(before, [*keys, "_bucket"])
+    out = bucketed.join(before, ["_group", "_bucket"])
     for new, old in sums.items():
         within = F.coalesce(F.sum(old).over(inside), F.lit(0))
         out = out.withColumn(new, F.col(f"_{new}") + within)
-    return out.drop("_bucket", *[f"_{new}" for new in sums])
+    return out.drop("_group", "_bucket", *[f"_{new}" for new in sums])
 
 
 def with_previous(
     df: DataFrame, keys: list[str], step: str, columns: list[str], width: int = 4096
 ) -> DataFrame:
     """Add ``prev_<column>`` from the row before (null on a group's first row)."""
-    bucketed = df.withColumn("_bucket", _div(step, width))
-    last = bucketed.groupBy(*keys, "_bucket").agg(
+    bucketed = _bucketed(df, keys, _div(step, width))
+    last = bucketed.groupBy("_group", "_bucket").agg(
         F.max(F.struct(step, *columns)).alias("_last")
     )
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = last.select(*keys, "_bucket", F.lag("_last").over(by_bucket).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(step)
+    by_bucket = Window.partitionBy("_group").orderBy("_bucket")
+    carried = last.select("_group", "_bucket", F.lag("_last").over(by_bucket).alias("_carried"))
+    inside = Window.partitionBy("_group", "_bucket").orderBy(step)
     row = F.struct(step, *columns)
-    out = bucketed.join(carried, [*keys, "_bucket"]).withColumn(
+    out = bucketed.join(carried, ["_group", "_bucket"]).withColumn(
         "_prev", F.coalesce(F.lag(row).over(inside), F.col("_carried"))
     )
     return out.select(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from reviewsieve.functions.ranking import sums_before
 from reviewsieve.operators.pool import RUN, reveal_positions
-from reviewsieve.session import fresh
+from reviewsieve.session import cut_lineage, fresh
 
 BLOCK = 1024
 # Fixed value: stands in for a variance of zero on either side.
@@ -111,7 +111,8 @@ def coverage_curve(
     """``topic, policy, run, round, coverage_pct``, one row per round after the seeds.
 
     ``prefix="index"``: round r looks at the first r labelled articles. ``prefix="round"``:
-    it looks at all articles labelled before it, the ones that effort counts.
+    it looks at all articles labelled before it, the ones that effort counts. Before the
+    first article coverage is 0; it is null where the last article looked at has no features.
     """
     if prefix not in ("index", "round"):
         raise ValueError("prefix is 'index' or 'round'")
@@ -133,6 +134,7 @@ def coverage_curve(
             F.floor((F.col("pos") - 1) / F.lit(block)).alias("_block"),
         )
     )
+    rows = cut_lineage(rows)  # read twice, to sum the blocks and to run through them
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     run_schema = ", ".join(f"{c} {types[c]}" for c in RUN)
     cell = [*RUN, "_block"]
@@ -145,6 +147,7 @@ def coverage_curve(
         .cogroup(fresh(carried).groupBy(*cell))
         .applyInPandas(_run_block, f"{run_schema}, pos bigint, coverage_pct double")
     )
+    nothing = F.when(F.col("pos") == 0, F.lit(0.0))
     return points.join(values, [*RUN, "pos"], "left").select(
-        *RUN, "round", F.coalesce("coverage_pct", F.lit(0.0)).alias("coverage_pct")
+        *RUN, "round", F.coalesce("coverage_pct", nothing).alias("coverage_pct")
     )

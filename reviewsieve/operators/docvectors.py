@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewsieve.functions.hashing import draw
-from reviewsieve.functions.joins import HOT_MIN_ROWS, skew_safe_join
 from reviewsieve.functions.ranking import draw_rank
 from reviewsieve.functions.text import explode_article_words
 from reviewsieve.session import BROADCAST_MAX_BYTES, cut_lineage
@@ -38,47 +41,55 @@ def document_vectors(
     vectors: DataFrame,
     keys: list[str],
     max_broadcast_bytes: int = BROADCAST_MAX_BYTES,
-    hot_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """``features array<double>`` of twice the vector width per article.
 
     Words without a vector are left out; a field without any known word gives zeros.
-    ``vectors`` has one row per word. It is broadcast only if the whole table, measured
-    first, is below the limit: then words meet vectors inside the scan's own tasks and
-    only sums are shuffled, or nothing if articles come partitioned by one of ``keys``.
-    Beyond it, counts per (article, field, word) are joined by
-    shuffle, and the few words that fill a large share of it by broadcast.
+    ``vectors`` has one row per word and is measured first. Below the limit it is broadcast;
+    otherwise it is cut to the words that occur and, if need be, into slices below the limit
+    by a hash of the word, each broadcast in a pass of its own. Words always meet vectors
+    inside the scan's own tasks, a word updates one sum vector, and what is shuffled is one
+    vector per article, field, slice and task.
     """
     size, total = vocabulary_stats(vectors)
-    # Every article gives one empty word, and that word a null vector: so an article
-    # without any known word stays, without a second look at the articles.
+    limit = max(max_broadcast_bytes, 1)
+    # Every article gives one empty word without a field, and that word a vector of zeros:
+    # so an article without any known word stays, without a second look at the articles.
     words = explode_article_words(articles, keys, mark_articles=True)
+    vectors = vectors.select("word", "vector")
+    if total > limit:
+        used = words.select("word").distinct()
+        vectors = cut_lineage(vectors.join(used, "word", "left_semi"))
+        total = vectors.count() and vocabulary_stats(vectors)[1]
+    slices = max(1, math.ceil(total / limit))
     empty = vectors.sparkSession.range(1).select(
-        F.lit("").alias("word"), F.lit(None).cast("array<float>").alias("vector")
+        F.lit("").alias("word"), F.array_repeat(F.lit(0.0).cast("float"), size).alias("vector")
     )
-    vectors = vectors.select("word", "vector").unionByName(empty)
-    if total <= max_broadcast_bytes:
-        known = words.join(F.broadcast(vectors), "word").withColumn("tf", F.lit(1))
-    else:
-        counted = words.groupBy(*keys, "field", "word").agg(F.count(F.lit(1)).alias("tf"))
-        known = skew_safe_join(
-            cut_lineage(counted), vectors, ["word"], "inner", min_rows=hot_rows
-        )
-    fields = ("title", "abstract")
-    # As SQL text: a wide list of sums is built much faster so than call by call.
-    of = "sum(case when field = '{}' then {} end) as {}"
-    sums = known.groupBy(*keys).agg(
-        *[F.expr(of.format(f, "tf", f"_n_{f}")) for f in fields],
-        *[
-            F.expr(of.format(f, f"cast(vector[{i}] as double) * tf", f"_{f}_{i}"))
-            for f in fields
-            for i in range(size)
-        ],
+    part = F.pmod(F.xxhash64("word"), F.lit(slices))
+    rows = vectors.unionByName(empty).select(
+        "word", array_to_vector("vector").alias("vector"), part.alias("_part")
     )
-    means = ", ".join(
-        f"coalesce(_{f}_{i} / _n_{f}, 0d)" for f in fields for i in range(size)
+    sums = None
+    for number in range(slices):
+        own = rows.where(F.col("_part") == number).drop("_part")
+        found = _sums(words.join(F.broadcast(own), "word"), [*keys, "field"], F.count(F.lit(1)))
+        sums = found if sums is None else sums.unionByName(found)
+    if slices > 1:
+        sums = _sums(sums, [*keys, "field"], F.sum("n"))
+    zeros = F.array_repeat(F.lit(0.0), size)
+
+    def mean(field: str) -> Column:
+        one = F.max(F.when(F.col("field") == field, F.struct("n", vector_to_array("vector"))))
+        return F.coalesce(F.transform(one["col2"], lambda x: x / one["n"]), zeros)
+
+    return sums.groupBy(*keys).agg(F.concat(mean("title"), mean("abstract")).alias("features"))
+
+
+def _sums(rows: DataFrame, keys: list[str], n: Column) -> DataFrame:
+    total = Summarizer.metrics("sum").summary(F.col("vector"))
+    return rows.groupBy(*keys).agg(n.alias("n"), total.alias("_s")).select(
+        *keys, "n", F.col("_s.sum").alias("vector")
     )
-    return sums.select(*keys, F.expr(f"array({means})").alias("features"))
 
 
 def shuffled_articles(

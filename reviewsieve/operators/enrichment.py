@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewsieve.functions.joins import HOT_KEYS, HOT_MIN_ROWS, hot_keys, last_version
+from reviewsieve.functions.joins import HOT_MIN_ROWS, hot_keys, last_version
+from reviewsieve.session import broadcast_if_small, cut_lineage
+
+# Records with their texts that may be broadcast at once.
+HOT_RECORDS = 10_000
 
 
 def enrich_judgements(
@@ -15,22 +19,23 @@ def enrich_judgements(
 
     Which record is last is settled on ``(pmid, seq)`` alone, so the texts are shuffled
     once, and copies of one record spread by ``seq``. If some pmids are judged in very many
-    rows, the last records of these few are broadcast to the rows instead.
+    rows, the last records of these are broadcast to the rows instead, if they are few.
     ``seq`` orders the records of one pmid and is unique among them.
     """
     text = F.col("pmid").cast("string")
     columns = judged.columns
     judged = judged.withColumn("pmid", text)
     records = records.withColumn("pmid", text).select("pmid", "title", "abstract", seq)
-    hot = hot_keys(judged, ["pmid"], HOT_KEYS, hot_rows)
+    hot = hot_keys(judged, ["pmid"], hot_rows)
     rest = judged if hot is None else judged.join(hot, "pmid", "left_anti")
     last = records.groupBy("pmid").agg(F.max(seq).alias(seq))
     joined = rest.join(last, "pmid", "left").join(records, ["pmid", seq], "left")
     joined = joined.select(*columns, "title", "abstract")
     if hot is None:
         return joined
-    few = last_version(records.join(hot, "pmid", "left_semi"), ["pmid"], seq)
-    spread = judged.join(hot, "pmid", "left_semi").join(F.broadcast(few), "pmid", "left")
+    few = cut_lineage(last_version(records.join(hot, "pmid", "left_semi"), ["pmid"], seq))
+    few = broadcast_if_small(few, HOT_RECORDS)
+    spread = judged.join(hot, "pmid", "left_semi").join(few, "pmid", "left")
     return joined.unionByName(spread.select(*columns, "title", "abstract"))
 
 

@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 
 from reviewsieve.functions.ranking import sums_before
 from reviewsieve.operators.pool import RUN
-from reviewsieve.session import broadcast_if_small
 
 
 def frame_points(projection: DataFrame, log: DataFrame) -> DataFrame:
-    """Every point of every run with ``from_round``, the round that labelled it.
+    """The labelled points of every run with ``from_round``, the round that labelled them.
 
     A frame's labelled points are those with ``from_round <= frame`` (see ``frame``), so
-    frames are read off one row per point and never multiplied out. ``from_round`` and
-    ``label`` are null for points that stay unlabelled.
+    frames are read off one row per point and never multiplied out. The background of a
+    picture is the projection itself, once per topic and not once per run.
     """
-    runs = broadcast_if_small(log.select(*RUN).distinct())
     seen = log.select(*RUN, "pmid", F.col("round").alias("from_round"), "label")
-    return projection.join(runs, "topic").join(seen, [*RUN, "pmid"], "left").select(
+    return seen.join(projection, ["topic", "pmid"]).select(
         *RUN, "pmid", "x", "y", "label", "from_round"
     )
 

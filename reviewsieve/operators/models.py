@@ -10,9 +10,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from reviewsieve.operators.policies import SCORED
 from reviewsieve.operators.pool import RUN
 
 # Inverse strength of the penalty, and how far the fit is driven.
@@ -30,15 +31,19 @@ def default_estimator(n_labelled: int) -> Estimator:
     )
 
 
-def check_two_classes(states: list[Row]) -> None:
-    """Raise if a run's labelled articles are not of exactly two classes, 0 and 1."""
-    bad = [
-        f"{s.topic}/{s.policy}/{s.run}"
-        for s in states
-        if s.labelled_0 == 0 or s.labelled_1 == 0 or s.labelled_other > 0
-    ]
-    if bad:
-        raise ValueError(f"score policies need labelled articles of classes 0 and 1: {bad[:20]}")
+def fits(state) -> Column | bool:
+    """Whether a run's labelled articles are of exactly two classes, 0 and 1.
+
+    Takes a row of ``run_state``, or columns by name.
+    """
+    return (state["labelled_0"] > 0) & (state["labelled_1"] > 0) & (state["labelled_other"] == 0)
+
+
+def rejected_runs(states: DataFrame) -> DataFrame:
+    """Runs of score policies that cannot be fitted, with the reason, out of ``run_state``."""
+    names = ("labelled_0", "labelled_1", "labelled_other")
+    bad = states.where(F.col("policy").isin(*SCORED) & ~fits({n: F.col(n) for n in names}))
+    return bad.select(*RUN, F.lit("labelled articles are not of classes 0 and 1").alias("reason"))
 
 
 def _of_run(df: DataFrame, state: Row) -> DataFrame:
@@ -55,21 +60,25 @@ def score(
 ) -> DataFrame:
     """Candidates with ``p``, the probability of label 1 under their own run's model.
 
-    One fit per run on all its labelled rows, from scratch; ``estimator`` maps the number
+    One fit per run on all its labelled rows, from scratch; runs whose labelled rows are not
+    of two classes are left out (see ``rejected_runs``). ``estimator`` maps the number
     of labelled rows to any probabilistic ``pyspark.ml`` classifier on ``_x`` and ``_y``.
     ``parallelism`` fits are submitted at a time, as in a cross validation. Give ``labelled``
     as a written table: it is read once per run.
     """
-    check_two_classes(states)
+    states = [s for s in states if fits(s)]
+    if not states:
+        return candidates.withColumn("p", F.lit(0.0)).where(F.lit(False))
     train = labelled.select(
         *RUN, array_to_vector("features").alias("_x"), F.col("label").cast("double").alias("_y")
     )
     rows = candidates.withColumn("_x", array_to_vector("features"))
+
     def fit(state: Row):
         return estimator(state.n_labelled).fit(_of_run(train, state))
 
-    with ThreadPool(max(1, min(parallelism, len(states)))) as fits:
-        fitted = fits.map(fit, states)
+    with ThreadPool(max(1, min(parallelism, len(states)))) as threads:
+        fitted = threads.map(fit, states)
     p = vector_to_array("probability")[1].alias("p")
     scored = [
         model.transform(_of_run(rows, state)).select(*candidates.columns, p)
@@ -95,8 +104,8 @@ def cluster(
         model = KMeans(k=n, seed=seed, featuresCol="_x", predictionCol="cluster").fit(own)
         return model.transform(own).select(*candidates.columns, "cluster")
 
-    with ThreadPool(max(1, min(parallelism, len(states)))) as fits:
-        return reduce(DataFrame.unionByName, fits.map(clustered, states))
+    with ThreadPool(max(1, min(parallelism, len(states)))) as threads:
+        return reduce(DataFrame.unionByName, threads.map(clustered, states))
 
 
 def project(features: DataFrame, keys: list[str]) -> DataFrame:

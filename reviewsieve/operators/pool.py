@@ -30,7 +30,8 @@ def run_state(log: DataFrame, judged: DataFrame) -> DataFrame:
     """Where each run stands after its last round.
 
     ``found`` counts included articles revealed after the seeds; ``recall`` is null for a
-    topic without any. ``done`` is set when the pool is empty or all are found.
+    topic without any. ``done`` is set when the pool is empty or all are found; a topic with
+    nothing to find goes on until its pool is empty.
     """
     totals = judged.groupBy("topic").agg(
         F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("label") == 1).alias("n_included")
@@ -49,7 +50,9 @@ def run_state(log: DataFrame, judged: DataFrame) -> DataFrame:
         *RUN, "last_round", "n_labelled", left.alias("n_pool"), "found", "n_included",
         "labelled_0", "labelled_1", "labelled_other",
         recall.alias("recall"),
-        ((left == 0) | (F.col("found") == F.col("n_included"))).alias("done"),
+        (
+            (left == 0) | ((F.col("found") == F.col("n_included")) & (F.col("n_included") > 0))
+        ).alias("done"),
     )
 
 

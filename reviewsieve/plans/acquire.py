@@ -40,7 +40,9 @@ def acquire_round(
     """The next round's rows of every run in ``log`` that is not done.
 
     ``features``: ``topic, pmid, features``; ``judged``: ``topic, pmid, label``. The caller
-    appends the result to the log and calls again. Models are fitted for score policies
+    appends the result to the log and calls again. Articles without a judgement stay out of
+    the pool; runs that cannot be fitted get no rows (``models.rejected_runs`` lists them).
+    Models are fitted for score policies
     only, on a table of labelled articles that is written once.
     """
     states = pool.run_state(log, judged).where(~F.col("done")).collect()
@@ -54,13 +56,15 @@ def acquire_round(
         "topic string, policy string, run int, round int, recall double",
     )
 
-    here = pool.pool(features.select("topic", "pmid"), log).join(F.broadcast(open_runs), RUN)
+    # Only judged articles can be revealed, so only those are drawn.
+    known = judged.select("topic", "pmid").dropDuplicates()
+    articles = features.select("topic", "pmid").join(known, ["topic", "pmid"], "left_semi")
+    here = pool.pool(articles, log).join(broadcast_if_small(open_runs), RUN)
     drawn = pool.candidates(here, batch_size, seed)
     if batch_size > 0:
         drawn = broadcast_if_small(cut_lineage(drawn))
     rows = features.join(drawn, ["topic", "pmid"])
-    if batch_size > 0:
-        rows = cut_lineage(rows)
+    rows = cut_lineage(rows)
     labelled = cut_lineage(
         features.join(broadcast_if_small(log.select(*RUN, "pmid", "label")), ["topic", "pmid"])
     )

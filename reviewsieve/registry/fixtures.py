@@ -10,13 +10,14 @@ from reviewsieve.functions.ranking import draw_rank
 from reviewsieve.functions.text import after_first_line, explode_article_words, first_line
 from reviewsieve.operators.policies import POLICIES
 from reviewsieve.operators.pool import RUN, candidates, pool, run_state
-from reviewsieve.session import cut_lineage, widen
+from reviewsieve.session import cut_lineage, spread_small
 
 STUDY_POLICIES = ("uncertainty", "certainty", "random", "alternating")
 RUNS = 3
 SEEDS = 4
 REVEAL = 25
-VECTOR_SLOTS = 5000
+# Slots for word hashes per embedding; a slot beyond the embeddings gives no vector.
+SLOTS_PER_VECTOR = 2
 _NOT_XML = r"[^\t\n\x20-\uD7FF\uE000-\uFFFD\x{10000}-\x{10FFFF}]"
 
 
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Documents for work on their texts, over all cores even if they are in one file."""
-    return widen(table(spark, sf_dir, "documents").select(*columns), "doc_id")
+    return spread_small(table(spark, sf_dir, "documents").select(*columns), "doc_id")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A written table: a vector for every word whose hash slot is the id of an embedding."""
     words = explode_article_words(articles(spark, sf_dir), ["pmid"]).select("word").distinct()
-    slot = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % VECTOR_SLOTS
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    slots = max(1, vectors.count() * SLOTS_PER_VECTOR)
+    slot = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % slots
     return cut_lineage(
         words.withColumn("vec_id", slot).join(vectors, "vec_id").select("word", "vector")
     )
@@ -114,7 +116,8 @@ def _xml_text(text: Column) -> Column:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as fetched XML, a few hundred to a response; German ones are book chapters.
 
-    A title goes on behind a child element, a blank abstract has no element at all.
+    A title goes on behind a child element, a blank abstract has no element at all. Books
+    have an editor ahead of their author. Every response begins with a record in a comment.
     """
     text = F.col("text")
     columns = ("doc_id", "lang", "source", "n_chars")
@@ -132,6 +135,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     abstract = F.when(F.col("abstract") != "", tag("AbstractText", F.col("abstract"))).otherwise("")
     person = tag("Author", tag("LastName", F.col("source")), tag("ForeName", F.col("lang")))
     group = tag("Author", tag("CollectiveName", F.col("source")))
+    editor = tag("Book", tag("AuthorList", tag("Author", tag("LastName", F.lit("editor")))))
     year = tag("Year", (2000 + F.col("n_chars") % 20).cast("string"))
     day = F.when(F.col("n_chars") > 500, tag("Day", F.lit("7"))).otherwise("")
     journal = tag(
@@ -152,13 +156,17 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = tag(
         "PubmedBookArticle",
         tag(
-            "BookDocument", pmid, tag("BookTitle", F.col("source")), title, abstract,
+            "BookDocument", pmid, editor, tag("BookTitle", F.col("source")), title, abstract,
             tag("AuthorList", person),
         ),
     )
     record = F.when(F.col("lang") == "de", book).otherwise(article)
     batch = F.floor(F.col("doc_id") / 250).alias("batch")
-    head = '<?xml version="1.0"?><!DOCTYPE PubmedArticleSet SYSTEM "records.dtd"><PubmedArticleSet>'
+    gone = "<!-- <PubmedArticle><MedlineCitation><PMID>0</PMID></MedlineCitation></PubmedArticle> -->"
+    head = (
+        '<?xml version="1.0"?><!DOCTYPE PubmedArticleSet SYSTEM "records.dtd"><PubmedArticleSet>'
+        + gone
+    )
     return docs.select(batch, "doc_id", record.alias("xml")).groupBy("batch").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "xml"))), lambda r: r["xml"]),

@@ -38,7 +38,7 @@ VOCABULARY = WORDS + """,
 vocabulary AS (
   SELECT word, embedding AS vector
   FROM (SELECT DISTINCT word FROM words) JOIN embeddings
-    ON CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 5000 = vec_id)"""
+    ON CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % greatest(1, 2 * (SELECT count(*) FROM embeddings)) = vec_id)"""
 LINES = r"""
 lines AS (
   SELECT concat_ws(' ', lang, '0', doc_id, toxic) AS value, 'toxic' AS source_set,
@@ -271,11 +271,13 @@ WHERE label IS NOT NULL AND pmid NOT IN (SELECT pmid FROM records)""",
     "xml_records": _with(XML) + """
 SELECT response, is_book, pmid, title, book_title, md5(abstract) AS abstract_md5 FROM xml_rows""",
     "xml_full_text": _with(XML) + r"""
-SELECT pmid, trim(regexp_replace(raw_title || ' more  text', '[ \t\n\x{0B}\f\r]+', ' ', 'g'))
-       AS title
+SELECT pmid, trim(regexp_replace(raw_title || 'more text', '[ \t\n\x{0B}\f\r]+', ' ', 'g'))
+       AS title,
+       md5(trim(regexp_replace(abstract, '[ \t\n\x{0B}\f\r]+', ' ', 'g'))) AS abstract_md5
 FROM xml_rows""",
     "xml_citations": _with(XML) + """
-SELECT pmid, source || ', ' || lang || CASE WHEN is_book THEN '' ELSE '; ' || source END AS authors,
+SELECT pmid, CASE WHEN is_book THEN 'editor; ' || source || ', ' || lang
+            ELSE source || ', ' || lang || '; ' || source END AS authors,
        CASE WHEN NOT is_book THEN source END AS journal,
        CASE WHEN NOT is_book THEN (2000 + n_chars % 20) || '-May'
             || CASE WHEN n_chars > 500 THEN '-7' ELSE '' END END AS pubdate,
@@ -288,20 +290,21 @@ SELECT pmid AS "PMID", coalesce(book_title, 'BookTitle not available') AS "BookT
 FROM xml_rows""",
     "xml_tag_texts": _with(XML) + r"""
 , tagged AS (
-  SELECT 'PMID' AS tag, pmid AS text FROM xml_rows
-  UNION ALL SELECT 'ArticleTitle', raw_title FROM xml_rows
-  UNION ALL SELECT 'i', 'more' FROM xml_rows
-  UNION ALL SELECT 'AbstractText', abstract FROM clean
-  UNION ALL SELECT 'LastName', source FROM xml_rows
-  UNION ALL SELECT 'ForeName', lang FROM xml_rows
-  UNION ALL SELECT 'CollectiveName', source FROM xml_rows WHERE NOT is_book
-  UNION ALL SELECT 'BookTitle', source FROM xml_rows WHERE is_book
-  UNION ALL SELECT 'Title', source FROM xml_rows WHERE NOT is_book
-  UNION ALL SELECT 'Year', CAST(2000 + n_chars % 20 AS VARCHAR) FROM xml_rows WHERE NOT is_book
-  UNION ALL SELECT 'Month', 'May' FROM xml_rows WHERE NOT is_book
-  UNION ALL SELECT 'Day', '7' FROM xml_rows WHERE NOT is_book AND n_chars > 500
-  UNION ALL SELECT 'ArticleId', '10.1/' || pmid FROM xml_rows WHERE NOT is_book AND n_chars > 1000)
-SELECT tag, count(*) AS records, count(DISTINCT text) AS texts
+  SELECT pmid, 'PMID' AS tag, pmid AS text FROM xml_rows
+  UNION ALL SELECT pmid, 'ArticleTitle', raw_title FROM xml_rows
+  UNION ALL SELECT pmid, 'i', 'more' FROM xml_rows
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'AbstractText', abstract FROM clean
+  UNION ALL SELECT pmid, 'LastName', source FROM xml_rows
+  UNION ALL SELECT pmid, 'ForeName', lang FROM xml_rows
+  UNION ALL SELECT pmid, 'CollectiveName', source FROM xml_rows WHERE NOT is_book
+  UNION ALL SELECT pmid, 'BookTitle', source FROM xml_rows WHERE is_book
+  UNION ALL SELECT pmid, 'Title', source FROM xml_rows WHERE NOT is_book
+  UNION ALL SELECT pmid, 'Year', CAST(2000 + n_chars % 20 AS VARCHAR) FROM xml_rows WHERE NOT is_book
+  UNION ALL SELECT pmid, 'Month', 'May' FROM xml_rows WHERE NOT is_book
+  UNION ALL SELECT pmid, 'Day', '7' FROM xml_rows WHERE NOT is_book AND n_chars > 500
+  UNION ALL SELECT pmid, 'ArticleId', '10.1/' || pmid FROM xml_rows WHERE NOT is_book AND n_chars > 1000)
+SELECT tag, count(*) AS records, count(DISTINCT text) AS texts,
+       CAST(sum(CAST('0x' || substr(md5(pmid || '|' || text), 1, 8) AS BIGINT)) AS BIGINT) AS mark
 FROM tagged WHERE regexp_matches(text, '[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')
 GROUP BY tag""",
     "xml_rejects": """
@@ -390,7 +393,7 @@ runs AS (
   FROM log GROUP BY {RUN})
 SELECT {RUN}, last_round, n_labelled, n_all - n_labelled AS n_pool, found,
        round(found / nullif(n_included, 0), 4) AS recall,
-       n_all = n_labelled OR found = n_included AS done
+       n_all = n_labelled OR (found = n_included AND n_included > 0) AS done
 FROM runs JOIN totals USING (topic)""",
     "candidates": _with(JUDGED, _pool(("random", "certainty"), 3)) + f"""
 SELECT {RUN}, CAST(run + 2 AS INTEGER) AS round, pmid FROM (
@@ -432,12 +435,11 @@ FROM ranked WHERE n <= 25""",
     + "".join(_min_variance_step(i) for i in (1, 2, 3)) + """
 SELECT * FROM pick1 UNION ALL SELECT * FROM pick2 UNION ALL SELECT * FROM pick3""",
     "frame_points": _with(ITEMS, _log(("random", "certainty"), SO_FAR)) + f"""
-, runs AS (SELECT DISTINCT {RUN} FROM log)
-SELECT r.topic, r.policy, r.run, e.vec_id AS pmid,
+
+SELECT l.topic, l.policy, l.run, e.vec_id AS pmid,
        round(CAST(e.embedding[1] AS DOUBLE), 4) AS x, round(CAST(e.embedding[2] AS DOUBLE), 4) AS y,
        l.label, l.round AS from_round
-FROM embeddings e CROSS JOIN runs r
-LEFT JOIN log l ON l.policy = r.policy AND l.run = r.run AND l.pmid = e.vec_id""",
+FROM log l JOIN embeddings e ON e.vec_id = l.pmid""",
     "frame_sizes": _with(JUDGED, _log(STUDY_POLICIES)) + f"""
 SELECT {RUN}, round, CAST(sum(n) OVER (PARTITION BY {RUN} ORDER BY round) AS BIGINT) AS labelled
 FROM (SELECT {RUN}, round, count(*) AS n FROM log GROUP BY {RUN}, round)""",

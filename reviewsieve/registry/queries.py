@@ -79,7 +79,9 @@ def xml_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def xml_full_text(spark: SparkSession, d: str) -> DataFrame:
-    return _xml_columns(spark, d, "full").select("pmid", "title")
+    return _xml_columns(spark, d, "full").select(
+        "pmid", "title", F.md5("abstract").alias("abstract_md5")
+    )
 
 
 def xml_citations(spark: SparkSession, d: str) -> DataFrame:
@@ -97,8 +99,12 @@ def xml_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 def xml_tag_texts(spark: SparkSession, d: str) -> DataFrame:
     found = articlexml.all_tag_texts(articlexml.split_records(fx.responses(spark, d)))
-    return found.select(F.explode("texts").alias("tag", "text")).groupBy("tag").agg(
-        F.count(F.lit(1)).alias("records"), F.countDistinct("text").alias("texts")
+    mark = F.conv(F.substring(F.md5(F.concat_ws("|", "pmid", "text")), 1, 8), 16, 10)
+    rows = found.select(F.col("texts")["PMID"].alias("pmid"), F.explode("texts").alias("tag", "text"))
+    return rows.groupBy("tag").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.countDistinct("text").alias("texts"),
+        F.sum(mark.cast("bigint")).alias("mark"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,27 +24,33 @@ def build_session(app: str = "reviewsieve", **confs: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.codegen.maxFields", "1000")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in confs.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the one the cluster names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary folder of its own.
+    That is ``spark.checkpoint.dir``, or what the context was given. Only a session in one
+    process, without either, gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="reviewsieve-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -56,13 +63,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan of fewer parts than cores (say, one large file) over all cores by key.
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small table that may lie in one file over all cores by key.
 
-    A scan that is wide enough already, as any at scale, is left alone.
+    Only a table of less than ``BROADCAST_MAX_BYTES`` by Spark's own estimate is shuffled.
     """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df.repartition(cores, key) if int(size.toString()) < BROADCAST_MAX_BYTES else df
 
 
 def fresh(df: DataFrame) -> DataFrame:

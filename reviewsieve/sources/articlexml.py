@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewsieve.functions.ranking import id_rank
-from reviewsieve.sources.tagtexts import tag_texts
 
 # Record tags, default texts, and the limits of one fetch.
 ARTICLE_TAG = "PubmedArticle"
@@ -25,14 +24,27 @@ FETCH_BATCH = 1000
 POST_ABOVE = 200
 
 # A document type would make the XPath parser fetch it over the network; it goes together
-# with the declaration, so that the rest can be put under one element of our own.
-_PROLOG = r"^[\s\uFEFF]*(<\?xml[^>]*>)?\s*|<!DOCTYPE[^>\[]*(\[[^\]]*\])?[^>]*>"
+# with the declaration, so that the rest can be put under one element of our own. Only what
+# stands ahead of the first element is taken away.
+_PROLOG = (
+    r"(?s)^[\s\uFEFF]*(<\?xml[^>]*>)?(\s|<!--.*?-->)*"
+    r"(<!DOCTYPE[^>\[]*(\[[^\]]*\])?[^>]*>)?"
+)
+_COMMENT = r"(?s)<!--.*?-->"
+# A start tag with its name, and the text up to the next tag; an empty-element tag has none.
+_START_TAG = r"""<([^\s/>!?]+)(?:\s(?:[^>"']|"[^"]*"|'[^']*')*)?(?<!/)>([^<]*)"""
+# Characters other than white space of any alphabet.
+_SHOWN = r"[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _PARSE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 _AUTHOR = "array<struct<LastName: string, ForeName: string, CollectiveName: string>>"
+_LISTS = f"AuthorList: array<struct<Author: {_AUTHOR}>>"
 _AUTHORS = (
-    f"MedlineCitation struct<Article: struct<AuthorList: struct<Author: {_AUTHOR}>>>, "
-    f"Article struct<AuthorList: struct<Author: {_AUTHOR}>>, "
-    f"BookDocument struct<AuthorList: struct<Author: {_AUTHOR}>>"
+    f"MedlineCitation struct<Article: struct<{_LISTS}>>, Article struct<{_LISTS}>, "
+    f"BookDocument struct<Book: struct<{_LISTS}>, {_LISTS}>"
+)
+# Where authors stand; those of the whole book come ahead of those of the chapter.
+_AUTHOR_PLACES = (
+    "MedlineCitation.Article", "Article", "BookDocument.Book", "BookDocument",
 )
 
 
@@ -54,7 +66,7 @@ def scan_records(spark: SparkSession, paths: str | list[str], tag: str, schema:
 
 
 def _checked(responses: DataFrame) -> DataFrame:
-    """Responses under one root element, and whether they are broken.
+    """Responses under one root element, without comments, and whether they are broken.
 
     ``from_xml`` reads up to the end of the root: with a root of our own, that is all of it.
     """
@@ -65,7 +77,8 @@ def _checked(responses: DataFrame) -> DataFrame:
     framed = F.rlike(body, F.lit(r"(?s)^\s*<.*>\s*$"))
     stray = F.rlike(body, F.lit(r"[\uFFFE\uFFFF]|\]\]>"))
     broken = body.isNull() | ~framed | stray | parsed["_corrupt"].isNotNull()
-    return responses.withColumn("_broken", broken).withColumn("xml", whole)
+    shown = F.regexp_replace(whole, _COMMENT, "")
+    return responses.withColumn("_broken", broken).withColumn("xml", shown)
 
 
 def _without_cdata(xml: Column) -> Column:
@@ -133,9 +146,15 @@ def first_text(tag_path: str, missing: Column) -> Column:
 
 
 def full_text(tag_path: str, missing: Column) -> Column:
-    """All text of all such elements, blanks collapsed."""
-    found = F.xpath("xml", F.lit(f"{tag_path}//text()"))
-    text = F.trim(F.regexp_replace(F.array_join(found, " "), r"\s+", " "))
+    """All text of all such elements, one blank between elements, blanks collapsed.
+
+    Markup inside an element does not part its text. The blank between elements is put in
+    ahead of their end tags.
+    """
+    tag = tag_path.rpartition("/")[2]
+    parted = F.replace("xml", F.lit(f"</{tag}"), F.lit(f" </{tag}"))
+    found = F.xpath(parted, F.lit(f"{tag_path}//text()"))
+    text = F.trim(F.regexp_replace(F.array_join(found, ""), r"\s+", " "))
     return F.when(F.size(found) == 0, missing).otherwise(text)
 
 
@@ -162,17 +181,17 @@ def record_columns(records: DataFrame, text_mode: str = "first") -> DataFrame:
 
 def requested(columns: DataFrame, ids: DataFrame, pmid: str = "pmid") -> DataFrame:
     """Records of the asked ids only; order by ``is_book, seq`` to list articles first."""
-    return columns.join(ids.select(pmid).distinct(), pmid, "left_semi")
+    return columns.join(ids.select(pmid), pmid, "left_semi")
 
 
 def citation_columns(records: DataFrame) -> DataFrame:
     """``authors, journal, pubdate, doi`` beside the record's other columns."""
     parsed = F.from_xml(F.col("xml"), _AUTHORS)
-    authors = F.coalesce(
-        F.col("_p.MedlineCitation.Article.AuthorList.Author"),
-        F.col("_p.Article.AuthorList.Author"),
-        F.col("_p.BookDocument.AuthorList.Author"),
+    none = F.expr("array()").cast(f"array<{_AUTHOR}>")
+    lists = F.flatten(
+        F.array(*[F.coalesce(f"_p.{p}.AuthorList.Author", none) for p in _AUTHOR_PLACES])
     )
+    authors = F.flatten(F.filter(lists, lambda a: a.isNotNull()))
     name = lambda a: F.coalesce(
         a["CollectiveName"], F.concat_ws(", ", a["LastName"], a["ForeName"])
     )
@@ -182,7 +201,7 @@ def citation_columns(records: DataFrame) -> DataFrame:
     return records.withColumn("_p", parsed).select(
         *[c for c in records.columns if c != "xml"],
         first_text("//PMID", F.lit(None)).alias("pmid"),
-        F.transform(authors, name).alias("authors"),
+        F.when(F.size(authors) > 0, F.transform(authors, name)).alias("authors"),
         first_text("//Journal/Title", F.lit(None)).alias("journal"),
         F.nullif(F.array_join(date, "-"), F.lit("")).alias("pubdate"),
         first_text("//ArticleId[@IdType='doi']", F.lit(NO_DOI)).alias("doi"),
@@ -201,9 +220,27 @@ def attribute_columns(records: DataFrame, tags: list[str]) -> DataFrame:
 
 
 def all_tag_texts(records: DataFrame) -> DataFrame:
-    """``texts``: a map from tag to the last text found under it, blank texts left out."""
-    return records.select(
-        *[c for c in records.columns if c != "xml"], tag_texts("xml").alias("texts")
+    """``texts``: a map from tag to the last text found under it, blank texts left out.
+
+    An element's text goes up to its first child. Records are well formed and free of
+    comments and CDATA here, so start tags and what follows them can be cut out by pattern.
+    """
+    part = lambda group: F.regexp_extract_all("xml", F.lit(_START_TAG), F.lit(group))
+    plain = lambda text: F.when(
+        F.contains(text, F.lit("&")),
+        F.xpath_string(F.concat(F.lit("<t>"), text, F.lit("</t>")), F.lit("/t")),
+    ).otherwise(text)
+    pairs = F.zip_with(
+        part(1), part(2), lambda tag, text: F.struct(tag.alias("tag"), plain(text).alias("text"))
+    )
+    shown = F.filter(pairs, lambda p: F.rlike(p["text"], F.lit(_SHOWN)))
+    tags = F.array_distinct(F.transform("_shown", lambda p: p["tag"]))
+    last = F.transform(
+        tags, lambda tag: F.element_at(F.filter("_shown", lambda p: p["tag"] == tag), -1)["text"]
+    )
+    others = [c for c in records.columns if c != "xml"]
+    return records.withColumn("_shown", shown).select(
+        *others, F.map_from_arrays(tags, last).alias("texts")
     )
 
 

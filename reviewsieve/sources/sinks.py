@@ -9,14 +9,26 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewsieve.session import broadcast_if_small
+
 
 def write_by_topic(
     enriched: DataFrame, path: str, by: list[str], fmt: str = "csv", max_rows: int = 1_000_000
 ) -> None:
-    """One folder per ``by`` value. A large topic is written as several files.
+    """One folder per ``by`` value, a topic's rows in as many files as ``max_rows`` needs.
 
-    No shuffle: each task writes its own rows, in files of at most ``max_rows``.
+    Rows are dealt out by topic and a salt of that many values, so a topic does not get a
+    file from every task, and a large one is not written by one task.
     """
+    files = enriched.groupBy(*by).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(max_rows)).cast("int").alias("_files")
+    )
+    same = F.struct(*by).alias("_by")
+    sized = enriched.withColumn("_by", F.struct(*by)).join(
+        broadcast_if_small(files.select(same, "_files")), "_by"
+    )
+    salt = F.pmod(F.xxhash64(*enriched.columns), F.col("_files"))
+    enriched = sized.withColumn("_salt", salt).repartition(*by, "_salt").select(*enriched.columns)
     writer = enriched.write.partitionBy(*by).option("maxRecordsPerFile", max_rows)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')

@@ -125,3 +125,53 @@ def test_hostile_responses_are_rejected_and_stop_nothing(spark):
     rejects = {r.response for r in ax.rejected_responses(responses).collect()}
     assert rejects == {f"bad{i}" for i in range(len(HOSTILE))}
     assert ax.record_columns(ax.split_records(responses)).count() == 3
+
+
+def test_full_text_keeps_words_that_markup_runs_through(spark):
+    title = "CO<sub>2</sub> in H<sub>2</sub>O"
+    xml = (
+        f"<PubmedArticle><PMID>1</PMID><Article><ArticleTitle>{title}</ArticleTitle>"
+        "<AbstractText>one</AbstractText><AbstractText>t<b>w</b>o</AbstractText></Article></PubmedArticle>"
+    )
+    responses = spark.createDataFrame([("r", xml)], "response string, xml string")
+    row = ax.record_columns(ax.split_records(responses), "full").first()
+    assert (row.title, row.abstract) == ("CO2 in H2O", "one two")
+
+
+def test_commented_records_are_no_records(spark):
+    one = "<PubmedArticle><PMID>{}</PMID></PubmedArticle>"
+    xml = (
+        f"<?xml version='1.0'?><!-- {one.format(1)} --><!DOCTYPE s><s>{one.format(2)}<!-- {one.format(3)} -->"
+        f"<PubmedArticle><PMID>4</PMID><Article><ArticleTitle><![CDATA[<!-- a --> <!DOCTYPE x>]]></ArticleTitle>"
+        "</Article></PubmedArticle></s>"
+    )
+    responses = spark.createDataFrame([("r", xml)], "response string, xml string")
+    rows = ax.record_columns(ax.split_records(responses)).collect()
+    assert [(r.pmid, r.title) for r in rows] == [("2", ax.NO_TITLE), ("4", "<!-- a --> <!DOCTYPE x>")]
+
+
+def test_authors_of_all_places(spark):
+    author = "<AuthorList><Author><LastName>{}</LastName></Author></AuthorList>"
+    xml = (
+        f"<PubmedBookArticle><BookDocument><PMID>1</PMID><Book>{author.format('E')}{author.format('F')}</Book>"
+        f"{author.format('A')}</BookDocument></PubmedBookArticle><PubmedArticle><PMID>2</PMID></PubmedArticle>"
+    )
+    responses = spark.createDataFrame([("r", xml)], "response string, xml string")
+    rows = {r.pmid: r.authors for r in ax.citation_columns(ax.split_records(responses)).collect()}
+    assert rows == {"1": ["E", "F", "A"], "2": None}
+
+
+def test_tag_texts_follow_the_parsed_tree(spark):
+    from xml.etree import ElementTree
+
+    xml = (
+        "<PubmedArticle k='a>b'><PMID>1</PMID><e/><e>x &amp; &#233; &lt;<i>in</i> tail</e><v> \u2003 </v>"
+        "<e a=\"1\">last</e><self k='v'/>after<q>\n</q></PubmedArticle>"
+    )
+    responses = spark.createDataFrame([("r", xml)], "response string, xml string")
+    got = ax.all_tag_texts(ax.split_records(responses)).first().texts
+    expected = {}
+    for node in ElementTree.fromstring(xml).iter():
+        if node.text and node.text.strip():
+            expected[node.tag] = node.text
+    assert got == expected

@@ -36,9 +36,9 @@ def vectors(spark):
     return spark.createDataFrame(list(VECTORS.items()), "word string, vector array<float>")
 
 
-@pytest.mark.parametrize("limit,hot", [(10**9, 10**6), (0, 10**6), (0, 2)])
-def test_both_joins_give_the_means(articles, vectors, limit, hot):
-    out = docvectors.document_vectors(articles, vectors, ["topic", "pmid"], limit, hot)
+@pytest.mark.parametrize("limit", [10**9, 150, 60])
+def test_slices_give_the_means(articles, vectors, limit):
+    out = docvectors.document_vectors(articles, vectors, ["topic", "pmid"], limit)
     got = {r.pmid: r.features for r in out.collect()}
     for _, pmid, title, abstract in ARTICLES:
         assert got.pop(pmid) == pytest.approx(mean(title) + mean(abstract))
@@ -73,3 +73,28 @@ def test_shuffled_order_is_whole_and_repeatable(articles):
     other = docvectors.shuffled_articles(articles.sparkSession.range(50).select(
         F.lit("T").alias("topic"), F.col("id").alias("pmid")), seed=1)
     assert [r.pmid for r in other.orderBy("pos").collect()] != list(range(50))
+
+
+@pytest.mark.parametrize("limit", [10**9, 20_000])
+def test_wide_vectors(spark, articles, limit):
+    wide = {w: [float(i + len(w)) for i in range(300)] for w in VECTORS}
+    vectors = spark.createDataFrame(list(wide.items()), "word string, vector array<float>")
+    out = docvectors.document_vectors(articles, vectors, ["pmid"], limit // 10)
+    for r in out.collect():
+        title, abstract = next((a[2], a[3]) for a in ARTICLES if a[1] == r.pmid)
+        for field, part in ((title, r.features[:300]), (abstract, r.features[300:])):
+            known = [wide[w] for w in words(field) if w in wide]
+            assert part == pytest.approx(list(np.mean(known, axis=0)) if known else [0.0] * 300)
+
+
+def test_only_sum_vectors_are_shuffled(articles, vectors):
+    plan = docvectors.document_vectors(articles, vectors, ["topic", "pmid"], 60)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text
+
+
+def test_shuffled_articles_keep_null_topics(spark):
+    rows = [("T" if i % 2 else None, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "topic string, pmid long")
+    out = docvectors.shuffled_articles(df).collect()
+    assert sorted(r.pos for r in out if r.topic is None) == list(range(1, 11)) and len(out) == 20

@@ -162,8 +162,28 @@ def test_other_estimators_and_single_class(spark):
     trees = lambda n: GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=2)
     assert models.score(cut_lineage(labelled), drawn, states, trees).where("p between 0 and 1").count() == 78
     one = labelled.where("label = 0")
-    with pytest.raises(ValueError, match="classes 0 and 1"):
-        models.score(one, drawn, states_of(spark, one, drawn))
+    assert models.score(one, drawn, states_of(spark, one, drawn)).count() == 0
+
+
+def test_a_run_of_one_class_does_not_stop_the_others(spark):
+    rows = [(t, i, [float(i % 5), float(i % 3)], int(i % 4 == 0)) for t in ("good", "bad") for i in range(40)]
+    judged = spark.createDataFrame(rows, "topic string, pmid long, features array<double>, label int")
+    seeds = judged.where("pmid < 8 and (topic = 'good' or label = 0)").withColumn("rank_in_round", F.lit(1))
+    log = cut_lineage(start_log(seeds, ["uncertainty"]))
+    picks = acquire_round(judged.select("topic", "pmid", "features"), judged, log, 20, 5)
+    assert [tuple(r) for r in picks.groupBy("topic").count().collect()] == [("good", 5)]
+    rejects = models.rejected_runs(pool.run_state(log, judged)).collect()
+    assert [(r.topic, r.policy, r.run) for r in rejects] == [("bad", "uncertainty", 0)]
+
+
+def test_topics_with_nothing_to_find_go_on_and_unjudged_articles_stay_out(spark):
+    rows = [("t", i, [float(i), 1.0], 0) for i in range(20)]
+    judged = spark.createDataFrame(rows, "topic string, pmid long, features array<double>, label int")
+    more = spark.createDataFrame([("t", 100 + i, [float(i), 2.0], 0) for i in range(50)], judged.schema)
+    log = cut_lineage(start_log(judged.where("pmid < 4").withColumn("rank_in_round", F.lit(1)), ["random"]))
+    features = judged.unionByName(more).select("topic", "pmid", "features")
+    picks = acquire_round(features, judged, log, 0, 7).collect()
+    assert len(picks) == 7 and all(r.pmid < 20 for r in picks)
 
 
 def test_clustering_picks_one_per_cluster(spark):

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -85,3 +87,28 @@ def test_draws_do_not_hang_on_partitions(spark):
     assert first[0] == first[1] == first[2]
     low, high = df.select(F.min(unit_draw("id")), F.max(unit_draw("id"))).first()
     assert 0 <= low < 0.1 and 0.9 < high < 1
+
+
+@pytest.mark.parametrize("k", [1000, 1001])
+def test_null_groups_are_ranked_on_both_sides_of_the_limit(spark, k):
+    df = spark.createDataFrame([(None if i % 2 else "T", i, f"{i * 37 % 101:03x}") for i in range(20)],
+                               "topic string, pmid long, d string")
+    for ranked in (
+        ranking.first_k(df, ["topic"], [F.col("d")], k, "pos"),
+        ranking.first_k_drawn(df, ["topic"], "d", ["pmid"], k, "pos"),
+        ranking.draw_rank(df, ["topic"], "d", ["pmid"], "pos", k),
+    ):
+        rows = ranked.collect()
+        for topic in (None, "T"):
+            own = sorted((r.d, r.pos) for r in rows if r.topic == topic)
+            assert [p for _, p in own] == list(range(1, 11))
+
+
+def test_null_groups_keep_sums_and_previous_rows(spark):
+    df = spark.createDataFrame([(None, i, i * i) for i in range(10)], "topic string, step long, v long")
+    sums = {r.step: r.s for r in ranking.sums_before(df, ["topic"], "step", {"s": "v"}, width=3).collect()}
+    assert sums == {i: sum(j * j for j in range(i)) for i in range(10)}
+    prev = {r.step: r.prev_v for r in ranking.with_previous(df, ["topic"], "step", ["v"], width=3).collect()}
+    assert prev == {i: (i - 1) ** 2 if i else None for i in range(10)}
+    ids = {r.step: r.pos for r in ranking.id_rank(df, ["topic"], "step", width=4).collect()}
+    assert ids == {i: i + 1 for i in range(10)}
