@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewsieve.session import checkpoint_folder
+
 # Bytes of texts that reach a Python task at once; one longer row comes alone.
 BATCH_BYTES = 8 * 1024 * 1024
 
@@ -22,14 +24,8 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name under the shared folder that the cluster names.
-
-    Taken from ``spark.checkpoint.dir``, or from the context where only that has one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's name under the shared folder that the cluster names."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

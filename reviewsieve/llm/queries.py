@@ -18,6 +18,7 @@ from reviewsieve.llm import (
     warc,
 )
 from reviewsieve.llm.frames import remainder, table
+from reviewsieve.llm.oracles import ORACLES
 
 
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,4 +116,4 @@ QUERIES = {
     "op10_lm_scoring": text_probabilities,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
