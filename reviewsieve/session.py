@@ -70,7 +70,7 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if int(size.toString()) < BROADCAST_MAX_BYTES else df
+    return df.repartition(cores, key) if int(str(size)) < BROADCAST_MAX_BYTES else df
 
 
 def fresh(df: DataFrame) -> DataFrame:
