@@ -52,12 +52,18 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
         return draws
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, draws))
-    # Beyond the sampler's range: split both sides, which keeps the law, and draw in halves.
-    half_good, half_bad = good // 2, bad // 2
-    first = _hypergeometric(rng, half_good + half_bad, good + bad - half_good - half_bad, draws)
-    return _hypergeometric(rng, half_good, half_bad, first) + _hypergeometric(
-        rng, good - half_good, bad - half_bad, draws - first
-    )
+    # Beyond the sampler's range: invert the distribution around its mean. What lies more than
+    # twelve standard deviations off weighs less than rounding.
+    total = good + bad
+    mean = draws * (good / total)
+    wide = 12 * math.sqrt(mean * (bad / total) * max(total - draws, 1) / (total - 1)) + 2
+    low = max(0, draws - bad, math.floor(mean - wide))
+    high = min(good, draws, math.ceil(mean + wide))
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    weight = np.concatenate(([0.0], np.cumsum(steps)))
+    sums = np.cumsum(np.exp(weight - weight.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], "right"))
 
 
 def _deal(counts: dict[int, np.ndarray], seed: int):

@@ -60,6 +60,9 @@ def test_large_populations_keep_the_law():
     rng = np.random.default_rng(3)
     big = [sharding._hypergeometric(rng, 2 * 10**9, 6 * 10**9, 400) for _ in range(400)]
     assert abs(np.mean(big) - 100) < 3 and 50 < np.var(big) < 105
+    for draws in (3, 2 * 10**9, 8 * 10**9 - 1):
+        assert 0 <= sharding._hypergeometric(rng, 2 * 10**9, 6 * 10**9, draws) <= min(draws, 2 * 10**9)
+    assert sharding._hypergeometric(rng, 2 * 10**9, 6 * 10**9, 8 * 10**9) == 2 * 10**9
 
 
 def test_places_are_uniform(spark):
