@@ -24,8 +24,11 @@ from reviewsieve.llm.frames import bounded_batches, texts_of
 ORDER = 4
 # About so many texts of each language are learned from, and half as many calibrate.
 TEXTS_PER_LANGUAGE = 2000
-# Share of calibration texts that may lie above the limit of their language.
+# A language's limit: what this share of its calibration texts exceeds, and nats on top. A
+# text of n characters may exceed it by SHORT / sqrt(n), for short texts scatter.
 REJECTED_SHARE = 0.001
+MARGIN = 0.75
+SHORT = 4.0
 UNKNOWN = "und"
 
 
@@ -193,7 +196,7 @@ def _predict(shared):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in keep]
                 + [pa.array(names, pa.string()), pa.array(np.where(bare, 0.0, 1 / odds)),
-                   pa.array(low), pa.array(bare | (low > limit))],
+                   pa.array(low), pa.array(bare | (low > limit + SHORT / np.sqrt(size)))],
                 [batch.schema.names[i] for i in keep]
                 + ["lang_pred", "score", "cross_entropy", "rejected"],
             )
@@ -246,8 +249,7 @@ def train(labelled: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE, ord
         .collect()
     )
     limit = {r["lang"]: r["limit"] for r in found}
-    spread = 0.1  # nats above the quantile, so that the share does not hang on one text
-    model.limit = np.array([limit.get(k, np.inf) + spread for k in model.languages])
+    model.limit = np.array([limit.get(k, np.inf) + MARGIN for k in model.languages])
     return context.broadcast(model)
 
 
