@@ -166,7 +166,7 @@ class _Gzip:
             if not self.input:
                 return False
         self.out += self.unpack.decompress(self.input, limit)
-        self.input = self.unpack.unconsumed_tail
+        self.input = b"" if self.unpack.eof else self.unpack.unconsumed_tail
         return True
 
     def block(self, size: int) -> bytes:

@@ -34,7 +34,7 @@ def brute_force(docs, items, n=5, threshold=0.8):
                 )
                 for s in range(len(hashes) - size + 1)
             )
-            if best >= threshold:
+            if best >= threshold - 1e-12:
                 out[doc, item] = best
     return out
 

@@ -88,8 +88,8 @@ def check(spark, learn, asked):
         own = tokens(text)
         assert r["n_tokens"] == len(own) and r["train_tokens"] == plain.n
         assert r["n_known"] == sum(plain.count[t] > 0 for t in own)
-        assert r["score"] == pytest.approx(plain.log10(text), abs=1e-9)
-        assert r["base_score"] == pytest.approx(plain.base(text), abs=1e-9)
+        assert r["score"] == pytest.approx(plain.log10(text), rel=1e-11)
+        assert r["base_score"] == pytest.approx(plain.base(text), rel=1e-11)
         assert r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(own)))
     return model
 

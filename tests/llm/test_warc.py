@@ -64,9 +64,9 @@ def test_payloads_and_headers_come_back(spark, archive):
 def test_filters_are_pushed_and_right(spark, archive):
     records = warc.read_records(spark, archive)
     kinds = records.where("record_type = 'revisit'")
-    assert {r["record_id"] for r in kinds.collect()} == {"<urn:x-page:5>", "<urn:x-page:9>"}
+    assert {r["record_id"] for r in kinds.collect()} == {f"<urn:x-page:{p}>" for p in (2, 5, 9)}
     both = records.where(F.col("target_uri").isin("http://a/7", "http://a/2") & F.col("refers_to").isNull())
-    assert {r["record_id"] for r in both.collect()} == {"<urn:x-page:7>", "<urn:x-page:2>"}
+    assert {r["record_id"] for r in both.collect()} == {"<urn:x-page:7>"}
     assert records.where("content_length > 900000").count() == 1
 
 
@@ -79,7 +79,7 @@ def test_unwanted_blocks_are_not_read(spark, archive, monkeypatch):
         real = kind.block
         monkeypatch.setattr(kind, "block", lambda self, n, real=real: sizes.append(n) or real(self, n))
     rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
-    assert {r["record_type"] for r in rows} == {"revisit"} and len(rows) == 2 and max(sizes) < 1000
+    assert {r["record_type"] for r in rows} == {"revisit"} and len(rows) == 3 and max(sizes) < 1000
     heads = warc.WarcReader({"path": archive, "payload": "false"})
     rows = [r for p in heads.partitions() for b in heads.read(p) for r in b.to_pylist()]
     assert len(rows) == len(PAGES) and all(r["payload"] is None for r in rows if r["record_type"] == "response")
