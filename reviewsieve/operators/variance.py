@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from reviewsieve.functions.vectors import mean_vectors, vector_size
 from reviewsieve.operators.policies import nearest_to_mean
 from reviewsieve.operators.pool import ROUND, RUN
-from reviewsieve.session import cut_lineage, fresh
+from reviewsieve.session import broadcast_if_small, cut_lineage, fresh
 
 # Drawn batches up to this size are worked on in one task per run; larger ones in passes.
+# Both forms compare the same distances and move the mean by the same steps.
 BATCH_IN_TASK = 20_000
-MAX_RUNS = 10_000
+# Rows with a vector that may be broadcast at once.
+WIDE_ROWS = 10_000
 
 
 def _centres(candidates: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -40,7 +42,9 @@ def _greedy(k: int):
         free = np.ones(len(rows), dtype=bool)
         order = []
         for _ in range(steps):
-            gap = np.where(free, ((features - mean) ** 2).sum(axis=1), np.inf)
+            # Summed in order, as the passes do, so that near ties fall alike.
+            gap = np.sqrt(np.cumsum((features - mean) ** 2, axis=1)[:, -1])
+            gap[~free] = np.inf
             best = int(gap.argmin())
             free[best] = False
             order.append(best)
@@ -88,19 +92,18 @@ def _greedy_or_none(k: int):
 
 
 def _passes(candidates: DataFrame, centres: DataFrame, k: int) -> DataFrame:
-    rows = candidates.select(*ROUND, "pmid", "draw", "features")
+    rows = cut_lineage(candidates.select(*ROUND, "pmid", "draw", "features"))
     centres = cut_lineage(centres)
-    # One row per run and pass: picks are as few as runs, and runs are counted.
-    few_runs = centres.count() <= MAX_RUNS
-    small = F.broadcast if few_runs else (lambda df: df)
     picked: DataFrame | None = None
     for step in range(1, k + 1):
         rest = rows
         if picked is not None:
-            rest = rows.join(small(picked.select(*RUN, "pmid")), [*RUN, "pmid"], "left_anti")
-        best = nearest_to_mean(rest, small(centres), RUN)
+            gone = broadcast_if_small(picked.select(*RUN, "pmid"))
+            rest = rows.join(gone, [*RUN, "pmid"], "left_anti")
+        # A row with its mean is wide; picks are ids. Both are counted before a broadcast.
+        best = cut_lineage(nearest_to_mean(rest, broadcast_if_small(centres, WIDE_ROWS), RUN))
         now = cut_lineage(
-            rows.join(small(best), [*RUN, "pmid"], "left_semi")
+            rows.join(broadcast_if_small(best), [*RUN, "pmid"], "left_semi")
             .withColumn("rank_in_round", F.lit(step))
         )
         picked = now if picked is None else picked.unionByName(now)

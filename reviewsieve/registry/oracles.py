@@ -147,7 +147,7 @@ measured AS (
   GROUP BY ALL)"""
 
 
-def _min_variance_step(step: int) -> str:
+def _min_variance_step(step: int, source: str = "here") -> str:
     """The row nearest to the mean of the labelled rows and of the picks so far."""
     earlier = "".join(f" UNION ALL SELECT {RUN}, pmid FROM pick{i}" for i in range(1, step))
     gone = "".join(
@@ -160,7 +160,7 @@ centre{step} AS (
   FROM (SELECT {RUN}, pmid FROM log{earlier}) k JOIN dims USING (pmid) GROUP BY {RUN}, dim),
 gaps{step} AS (
   SELECT h.topic, h.policy, h.run, h.round, h.pmid, h.draw, sqrt(sum((d.x - c.m) ** 2)) AS gap
-  FROM here h JOIN dims d ON d.pmid = h.pmid
+  FROM {source} h JOIN dims d ON d.pmid = h.pmid
   JOIN centre{step} c ON c.topic = h.topic AND c.policy = h.policy AND c.run = h.run
     AND c.dim = d.dim
   WHERE true{gone} GROUP BY ALL),
@@ -222,7 +222,7 @@ coverage AS (
   WHERE r.round > 0)"""
 
 
-GRID = f"""
+_GRID = f"""
 sizes AS (SELECT {RUN}, count(*) AS n FROM curve GROUP BY {RUN}),
 longest AS (SELECT topic, policy, max(n) AS size FROM sizes GROUP BY topic, policy),
 places AS (
@@ -244,6 +244,27 @@ on_grid AS (
               ELSE y0 + (y1 - y0) / (x1 - x0) * (grid_x - x0) END AS recall_pct
   FROM around)"""
 
+
+
+def _grid(curve: str = "curve", y: str = "recall_pct") -> str:
+    read = _GRID.replace("FROM curve ", f"FROM {curve} ").replace("JOIN curve ", f"JOIN {curve} ")
+    return read.replace("recall_pct", y)
+
+
+GRID = _grid()
+BOTH_CURVES = f"both_curves AS (SELECT * FROM curve JOIN coverage USING ({RUN}, round))"
+
+
+def _band(y: str, columns: str = "") -> str:
+    return f"""
+SELECT topic, policy, {columns}grid, runs, round(m, 4) AS mean,
+       round(m - t.v * sem, 4) AS low, round(m + t.v * sem, 4) AS high
+FROM (SELECT topic, policy, grid, count({y}) AS runs, avg({y}) AS m,
+             stddev_samp({y}) / sqrt(count({y})) AS sem
+      FROM on_grid GROUP BY topic, policy, grid)
+LEFT JOIN (VALUES {_T}) AS t(df, v) ON t.df = runs - 1"""
+
+
 _T = ", ".join(f"({df}, {t}::DOUBLE)" for df, t in enumerate(T_975, start=1))
 
 ORACLES: dict[str, str] = {
@@ -433,6 +454,13 @@ SELECT {RUN}, round, CAST(row_number() OVER (PARTITION BY {RUN} ORDER BY min_dis
 FROM ranked WHERE n <= 25""",
     "pick_min_variance": _with(ITEMS, _pool(("minimum_variance",)))
     + "".join(_min_variance_step(i) for i in (1, 2, 3)) + """
+SELECT * FROM pick1 UNION ALL SELECT * FROM pick2 UNION ALL SELECT * FROM pick3""",
+    "pick_min_variance_batch": _with(ITEMS, _pool(("minimum_variance",))) + f""",
+batch AS (
+  SELECT * EXCLUDE (n) FROM (
+    SELECT *, row_number() OVER (PARTITION BY {RUN} ORDER BY draw, pmid) AS n FROM here)
+  WHERE n <= 50)"""
+    + "".join(_min_variance_step(i, "batch") for i in (1, 2, 3)) + """
 SELECT * FROM pick1 UNION ALL SELECT * FROM pick2 UNION ALL SELECT * FROM pick3""",
     "frame_points": _with(ITEMS, _log(("random", "certainty"), SO_FAR)) + f"""
 
@@ -479,6 +507,37 @@ SELECT topic, policy, runs, round(auc_recall, 4) AS auc_recall, round(auc_covera
 FROM means""",
     "curve_grid": _with(JUDGED, _curve(), GRID) + f"""
 SELECT {RUN}, grid, round(grid_x, 4) AS grid_x, round(recall_pct, 4) AS recall_pct FROM on_grid""",
+    "curve_grid_coverage": _with(
+        ITEMS, _curve(), _coverage("index"), BOTH_CURVES, _grid("both_curves", "coverage_pct")
+    ) + f"""
+SELECT {RUN}, grid, round(grid_x, 4) AS grid_x, round(coverage_pct, 4) AS coverage_pct FROM on_grid""",
+    "curve_band_coverage": _with(
+        ITEMS, _curve(), _coverage("index"), BOTH_CURVES, _grid("both_curves", "coverage_pct")
+    ) + _band("coverage_pct"),
+    "compare_policies": "SELECT * FROM (" + _with(
+        ITEMS, _curve(), _coverage("index"), BOTH_CURVES, _grid("both_curves", "coverage_pct")
+    ) + _band("coverage_pct", "'coverage' AS measure, ") + ") UNION ALL SELECT * FROM (" + _with(
+        ITEMS, _curve(), GRID
+    ) + _band("recall_pct", "'recall' AS measure, ") + ")",
+    "load_topics": _with(VOCABULARY, VERSIONS.removeprefix(ARTICLES).lstrip(",\n")) + r"""
+, last AS (
+  SELECT topic, pmid, arg_max(toxic, seq) AS label, arg_max(title, seq) AS title,
+         arg_max(abstract, seq) AS abstract
+  FROM versions GROUP BY topic, pmid),
+read AS (
+  SELECT topic, pmid, field, unnest(regexp_extract_all(lower(text), '([\p{L}\p{Nl}\p{No}_]+)', 1)) AS word
+  FROM (SELECT topic, pmid, 'title' AS field, title AS text FROM last
+        UNION ALL SELECT topic, pmid, 'abstract', abstract FROM last)),
+means AS (
+  SELECT topic, pmid, avg(CAST(vector[1] AS DOUBLE)) FILTER (WHERE field = 'title') AS a,
+         avg(CAST(vector[1] AS DOUBLE)) FILTER (WHERE field = 'abstract') AS b
+  FROM read JOIN vocabulary USING (word)
+  WHERE length(word) BETWEEN 2 AND 15 AND NOT starts_with(word, '_') GROUP BY topic, pmid)
+SELECT l.topic, CAST(l.pmid AS VARCHAR) AS pmid, l.label,
+       row_number() OVER (PARTITION BY l.topic
+         ORDER BY md5(concat_ws('|', 42, l.pmid)), CAST(l.pmid AS VARCHAR)) AS pos,
+       coalesce(round(a, 4), 0) AS title_first, coalesce(round(b, 4), 0) AS abstract_first
+FROM last l LEFT JOIN means m ON m.topic = l.topic AND m.pmid = l.pmid""",
     "curve_band": _with(JUDGED, _curve(), GRID) + f"""
 , stats AS (
   SELECT topic, policy, grid, count(recall_pct) AS runs, avg(recall_pct) AS m,

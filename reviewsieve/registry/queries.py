@@ -13,6 +13,7 @@ from reviewsieve.operators import (
 from reviewsieve.operators.distances import min_distances
 from reviewsieve.operators.pool import ROUND, RUN
 from reviewsieve.plans.acquire import acquire_round, start_log
+from reviewsieve.plans.study import compare_policies, load_topics
 from reviewsieve.registry import fixtures as fx
 from reviewsieve.session import cut_lineage
 from reviewsieve.sources import articlexml, qrels, topics, wordvectors
@@ -38,13 +39,16 @@ def topic_list(spark: SparkSession, d: str) -> DataFrame:
     return qrels.topics(qrels_scan(spark, d))
 
 
-def topic_scan(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.versions(spark, d).select(
+def _topic_rows(spark: SparkSession, d: str) -> DataFrame:
+    return fx.versions(spark, d).select(
         F.col("topic").alias("CD"), F.lit("0").alias("Misc"),
         F.col("pmid").cast("string").alias("PMID"), F.col("toxic").cast("string").alias("label"),
         "title", "abstract", "seq",
     )
-    return topics.topic_articles(rows).select(
+
+
+def topic_scan(spark: SparkSession, d: str) -> DataFrame:
+    return topics.topic_articles(_topic_rows(spark, d)).select(
         "topic", "pmid", "label", "first_seq", "title", F.md5("abstract").alias("abstract_md5")
     )
 
@@ -213,12 +217,14 @@ def reveal(spark: SparkSession, d: str) -> DataFrame:
     return pool.reveal_positions(grown).select(*ROUND, "rank_in_round", "pos", "pmid", "label")
 
 
-def _item_pool(spark: SparkSession, d: str, policy: str) -> tuple[DataFrame, DataFrame]:
-    """Whole pool and labelled rows of broken-off reviews of the vectors, with features."""
+def _item_pool(
+    spark: SparkSession, d: str, policy: str, batch_size: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """Pool (whole or drawn) and labelled rows of broken-off reviews of the vectors."""
     rows = fx.items(spark, d)
     log = fx.log_so_far(rows, (policy,))
     here = pool.pool(rows.select("topic", "pmid", "features"), log)
-    drawn = pool.candidates(here.withColumn("round", F.col("run") + 2), 0)
+    drawn = pool.candidates(here.withColumn("round", F.col("run") + 2), batch_size)
     labelled = log.select(*RUN, "pmid", "label").join(
         rows.select("topic", "pmid", "features"), ["topic", "pmid"]
     )
@@ -240,6 +246,11 @@ def pick_min_variance(spark: SparkSession, d: str) -> DataFrame:
     return variance.pick_min_variance(drawn, labelled, 3).select(*PICKS)
 
 
+def pick_min_variance_batch(spark: SparkSession, d: str) -> DataFrame:
+    drawn, labelled = _item_pool(spark, d, "minimum_variance", 50)
+    return variance.pick_min_variance(drawn, labelled, 3, batch_size=50).select(*PICKS)
+
+
 def pick_clustering(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.items(spark, d)
     states = pool.run_state(fx.log_so_far(rows, ("clustering",)), rows).collect()
@@ -333,6 +344,45 @@ def curve_band(spark: SparkSession, d: str) -> DataFrame:
     return band.select("topic", "policy", "grid", "runs", _r("mean"), _r("low"), _r("high"))
 
 
+def _coverage_grid(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.items(spark, d)
+    log = fx.reveal_log(rows)
+    both = curves.recall_curve(log, rows).join(coverage.coverage_curve(log, rows), [*RUN, "round"])
+    return curves.curve_grid(both, "coverage_pct")
+
+
+def curve_grid_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return _coverage_grid(spark, d).select(*RUN, "grid", _r("grid_x"), _r("coverage_pct"))
+
+
+def curve_band_coverage(spark: SparkSession, d: str) -> DataFrame:
+    band = curves.curve_band(_coverage_grid(spark, d), "coverage_pct")
+    return band.select("topic", "policy", "grid", "runs", _r("mean"), _r("low"), _r("high"))
+
+
+def compared(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.items(spark, d)
+    study = compare_policies(fx.reveal_log(rows), rows, rows)
+
+    def band(df: DataFrame, measure: str) -> DataFrame:
+        return df.select(
+            "topic", "policy", F.lit(measure).alias("measure"), "grid", "runs",
+            _r("mean"), _r("low"), _r("high"),
+        )
+
+    return band(study.recall_band, "recall").unionByName(band(study.coverage_band, "coverage"))
+
+
+def loaded_topics(spark: SparkSession, d: str) -> DataFrame:
+    loaded = load_topics(spark, _topic_rows(spark, d), fx.vocabulary(spark, d))
+    half = (F.size("features") / 2).cast("int")
+    return loaded.select(
+        "topic", "pmid", "label", "pos",
+        F.round(F.get("features", F.lit(0)), 4).alias("title_first"),
+        F.round(F.get("features", half), 4).alias("abstract_first"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qrels_scan": qrels_scan,
     "qrels_rejects": qrels_rejects,
@@ -369,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "min_distances": distances,
     "pick_diversity": pick_diversity,
     "pick_min_variance": pick_min_variance,
+    "pick_min_variance_batch": pick_min_variance_batch,
     "pick_clustering": pick_clustering,
     "scores": scores,
     "projection": projection,
@@ -383,6 +434,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "policy_summary": policy_summary,
     "curve_grid": curve_grid,
     "curve_band": curve_band,
+    "curve_grid_coverage": curve_grid_coverage,
+    "curve_band_coverage": curve_band_coverage,
+    "compare_policies": compared,
+    "load_topics": loaded_topics,
 }
 
 

@@ -234,3 +234,11 @@ def test_policies_of_a_run_share_their_draws(spark):
     digest = lambda i: hashlib.md5(f"4|1|{i}".encode()).hexdigest()
     seeded = {r.pmid for r in log.collect()}
     assert got["random"] == set(sorted(set(range(90)) - seeded, key=digest)[:10])
+
+
+def test_both_forms_of_minimum_variance_pick_alike(spark):
+    drawn, labelled = pool_and_labelled(spark, "minimum_variance")
+    one = variance.pick_min_variance(drawn, labelled, 4, batch_size=50)
+    other = variance.pick_min_variance(drawn, labelled, 4)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(one) == rows(other) and one.count() > 0
