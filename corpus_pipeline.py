@@ -8,48 +8,60 @@ import public_tokenizers
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 import reviewsieve
 from reviewsieve.llm import decontaminate, jaccard, langid, packing, toxicity
 from reviewsieve.llm.frames import table, written
+from reviewsieve.session import broadcast_if_small
 
 # Workers that do not have the package installed get its functions by value.
 cloudpickle.register_pickle_by_value(reviewsieve)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept``; both sides are written tables."""
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the models know; what they reject goes."""
-    found = langid.identify(docs, langid.train(docs))
-    return _only(docs, written(found.where("not rejected").select("doc_id"), "languages"))
+    """Documents in a language that the models know; what they reject goes.
+
+    Texts without a letter (null and empty ones too) are rejected. Each row is judged by its
+    text alone, so null doc_ids and repeated rows are kept or not like any other.
+    """
+    return langid.known_only(docs, langid.train(docs))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the classifier's threshold."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    found = toxicity.score(docs, model).where("predicted = 0").select("doc_id")
-    return _only(docs, written(found, "clean"))
+    """Documents below the classifier's threshold, each row judged by its text alone."""
+    return toxicity.clean_only(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies."""
-    classes = jaccard.similarity_classes(docs).where("doc_id = class_id").select("doc_id")
-    return _only(docs, written(classes, "firsts"))
+    """The document with the least doc_id of each group of near copies.
+
+    Rows that repeat a doc_id leave one of them. Rows without a doc_id are in no group and
+    all stay; so do, one by one, documents without a word.
+    """
+    later = written(
+        jaccard.similarity_classes(docs)
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("rows"), F.min("class_id").alias("class_id"))
+        .where("doc_id is not null and (rows > 1 or class_id < doc_id)"),
+        "later",
+    )
+    gone = broadcast_if_small(later.select("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = later.where("class_id = doc_id").select("doc_id")
+    if again.limit(1).count():
+        repeated = docs.join(broadcast_if_small(again), "doc_id", "left_semi")
+        kept = kept.unionByName(repeated.select(*docs.columns).dropDuplicates(["doc_id"]))
+    return kept
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaks = written(found.select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item, each row judged by its text alone."""
+    return decontaminate.clean_only(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens; every row is packed."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

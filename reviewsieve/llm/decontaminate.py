@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewsieve.llm import wordhash
-from reviewsieve.llm.frames import bounded_batches, texts_of, written
+from reviewsieve.llm.frames import bounded_batches, keep_rows, texts_of, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -205,20 +205,25 @@ def matches(
     ]
 
 
+def search(
+    index: Items, texts: list[str], words: int, threshold: float, radius: int, parts: int
+) -> Iterator[tuple[int, tuple]]:
+    """Place of a text in the list, and each of its matches."""
+    for begin, end in wordhash.batches(texts):
+        found = wordhash.words([t.lower() for t in texts[begin:end]])
+        for i in _suspects(index, found, words):
+            own = found.hash[found.first[i] : found.first[i + 1]]
+            for match in matches(index, own, words, threshold, radius, parts):
+                yield begin + i, match
+
+
 def _search(shared, words: int, threshold: float, radius: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            texts = texts_of(batch.column("text"))
-            rows: list[tuple] = []
-            for begin, end in wordhash.batches(texts):
-                found = wordhash.words([t.lower() for t in texts[begin:end]])
-                suspect = _suspects(index, found, words)
-                for i in suspect:
-                    a, b = found.first[i], found.first[i + 1]
-                    for match in matches(index, found.hash[a:b], words, threshold, radius, parts):
-                        rows.append((docs[begin + i], *match))
+            found = search(index, texts_of(batch.column("text")), words, threshold, radius, parts)
+            rows = [(docs[i], *match) for i, match in found]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
@@ -276,6 +281,28 @@ def contaminated(
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def clean_only(
+    docs: DataFrame,
+    items: DataFrame,
+    words: int = WORDS,
+    threshold: float = THRESHOLD,
+    radius: int = RADIUS,
+    parts: int = PARTS,
+) -> DataFrame:
+    """Rows of ``docs`` in which ``contaminated`` finds nothing, with all their columns."""
+    for block in _item_blocks(items):
+        index = docs.sparkSession.sparkContext.broadcast(index_items(block, words, radius, parts))
+
+        def clean(texts: list[str], index=index) -> np.ndarray:
+            out = np.ones(len(texts), np.bool_)
+            for i, _ in search(index.value, texts, words, threshold, radius, parts):
+                out[i] = False
+            return out
+
+        docs = keep_rows(docs, clean)
+    return docs
+
+
 def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items, ``ITEM_BLOCK`` of them at a time: that bounds driver and broadcast."""
     held = items.where("text is not null").select("item_id", "text")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_rows(docs: DataFrame, wanted: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """Rows of ``docs`` whose text is ``wanted``, decided batch by batch where the rows are.
+
+    All columns stay as they are and nothing is shuffled.
+    """
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(wanted(texts_of(batch.column("text")))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """A text column as strings; null is the empty text."""
     return [t or "" for t in column.to_pylist()]

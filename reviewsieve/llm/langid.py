@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewsieve.llm import wordhash
-from reviewsieve.llm.frames import bounded_batches, texts_of
+from reviewsieve.llm.frames import bounded_batches, keep_rows, texts_of
 
 ORDER = 4
 # About so many texts of each language are learned from, and half as many calibrate.
@@ -177,26 +177,31 @@ def cross_entropies(model: CharModel, texts: list[str]) -> tuple[np.ndarray, np.
     return -np.concatenate(sums) / size[:, None], size
 
 
+def judge(model: CharModel, texts: list[str]):
+    """Per text the language, its share, its cross-entropy, and whether it is rejected."""
+    entropy, size = cross_entropies(model, texts)
+    best = entropy.argmin(axis=1)
+    low = entropy[np.arange(len(best)), best]
+    odds = np.exp(-np.minimum(size, 50)[:, None] * (entropy - low[:, None])).sum(axis=1)
+    bare = size < 2
+    names = np.array(model.languages, object)[best]
+    limit = model.limit[best] if model.limit is not None else np.inf
+    names[bare] = UNKNOWN
+    rejected = bare | (low > limit + SHORT / np.sqrt(size))
+    return names, np.where(bare, 0.0, 1 / odds), low, rejected
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             texts = texts_of(batch.column("text"))
             if not texts:
                 continue
-            entropy, size = cross_entropies(model, texts)
-            best = entropy.argmin(axis=1)
-            low = entropy[np.arange(len(best)), best]
-            odds = np.exp(-np.minimum(size, 50)[:, None] * (entropy - low[:, None])).sum(axis=1)
-            bare = size < 2
-            names = np.array(model.languages, object)[best]
-            limit = model.limit[best] if model.limit is not None else np.inf
-            names[bare] = UNKNOWN
+            names, share, low, rejected = judge(shared.value, texts)
             keep = [i for i, n in enumerate(batch.schema.names) if n != "text"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in keep]
-                + [pa.array(names, pa.string()), pa.array(np.where(bare, 0.0, 1 / odds)),
-                   pa.array(low), pa.array(bare | (low > limit + SHORT / np.sqrt(size)))],
+                + [pa.array(names, pa.string()), pa.array(share), pa.array(low), pa.array(rejected)],
                 [batch.schema.names[i] for i in keep]
                 + ["lang_pred", "score", "cross_entropy", "rejected"],
             )
@@ -258,6 +263,13 @@ def _bare(model: CharModel) -> CharModel:
     return model
 
 
+def known_only(docs: DataFrame, shared) -> DataFrame:
+    """Rows of ``docs`` that ``identify`` would not reject, with all their columns."""
+    if shared is None:
+        return docs.where(F.lit(False))
+    return keep_rows(docs, lambda texts: ~judge(shared.value, texts)[3])
+
+
 def identify(docs: DataFrame, shared) -> DataFrame:
     """``doc_id, lang_pred, score, cross_entropy, rejected`` for each row of ``docs``.
 

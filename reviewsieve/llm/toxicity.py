@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewsieve.llm import wordhash
-from reviewsieve.llm.frames import bounded_batches, texts_of
+from reviewsieve.llm.frames import bounded_batches, keep_rows, texts_of
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -233,6 +233,13 @@ def _scores(shared):
     return run
 
 
+def clean_only(docs: DataFrame, shared, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` that ``score`` would predict 0 for, with all their columns."""
+    if shared is None:
+        return docs
+    return keep_rows(docs, lambda texts: probabilities(shared.value, texts) < threshold)
+
+
 def score(docs: DataFrame, shared, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` for each row of ``docs``, from whole texts.
 

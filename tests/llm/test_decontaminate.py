@@ -28,6 +28,8 @@ def brute_force(docs, items, n=5, threshold=0.8):
                 continue
             shingles = wordhash.runs(hashes, length)
             span = size - length + 1
+            if not index.shingles[at].keys() & set(shingles.tolist()):
+                continue  # no window shares anything
             best = max(
                 decontaminate.similarity(
                     Counter(shingles[s : s + span].tolist()), index.shingles[at], index.weight, index.usual
