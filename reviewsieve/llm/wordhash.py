@@ -17,7 +17,7 @@ import numpy as np
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # Characters per batch that are hashed together; a longer single text is its own batch.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 
 class Words(NamedTuple):
