@@ -7,6 +7,7 @@ scaled by their ratio, and weighed by a logistic regression with a quadratic pen
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewsieve.llm import wordhash
-from reviewsieve.llm.frames import bounded_batches, keep_rows, texts_of
+from reviewsieve.llm.frames import bounded_batches, keep_rows, texts_of, written
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
 # About so many labelled texts are fitted on, whatever the size of the table.
 TRAINING_TEXTS = 20_000
+# Training texts whose n-grams a task counts together.
+TASK_TEXTS = 2_500
 FEATURES = 4096
 SMOOTHING = 1.0
 PENALTY = 1.0
@@ -67,7 +70,7 @@ def _held(sizes: tuple[int, ...]):
         for batch in batches:
             texts = texts_of(batch.column("text"))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            for begin, end in wordhash.batches(texts, 500_000):
+            for begin, end in wordhash.batches(texts, 200_000):
                 text, bucket = _features(texts[begin:end], sizes, None)
                 for label in (0, 1):
                     own = toxic[begin:end][text] == label
@@ -112,13 +115,12 @@ def fit_logistic(
     """
     n, k = len(labels), len(scale)
     beta = np.zeros(k + 1)
-    values = scale[columns]
 
     def times(v: np.ndarray) -> np.ndarray:
-        return np.bincount(rows, values * v[columns], n) + v[-1]
+        return np.bincount(rows, (scale * v[:-1])[columns], n) + v[-1]
 
     def back(u: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(columns, values * u[rows], k), u.sum())
+        return np.append(scale * np.bincount(columns, u[rows], k), u.sum())
 
     ridge = np.append(np.full(k, penalty), 1e-6)
     loss = lambda b: np.logaddexp(0, (1 - 2 * labels) * times(b)).sum() + (ridge * b * b).sum() / 2
@@ -172,7 +174,10 @@ def train(
         return None
     mark = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     drawn = known.where(mark < min(1.0, training_texts / total))
+    # The sample is bounded, so its texts may move: a few tasks send fewer counts than many.
+    parts = max(1, math.ceil(min(total, training_texts) / TASK_TEXTS))
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    sample = written(sample.repartition(parts), "sample")
     held = (
         sample.select("text", "toxic")
         .mapInArrow(_held(sizes), "bucket int, other bigint, toxic bigint")
@@ -202,12 +207,14 @@ def train(
         .toPandas()
         .sort_values("doc_id")
     )
-    found = [np.frombuffer(f, np.uint16) for f in rows["features"]]
-    owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    column = np.concatenate(found).astype(np.int64) if found else owner
     if not len(rows):
         return None
-    weight, bias = fit_logistic(owner, column, scale, rows["toxic"].to_numpy(float), penalty)
+    toxic, found = rows["toxic"].to_numpy(float), rows["features"].to_list()
+    del rows
+    owner = np.repeat(np.arange(len(found)), [len(f) // 2 for f in found])
+    column = np.frombuffer(b"".join(found), np.uint16).astype(np.int64)
+    del found
+    weight, bias = fit_logistic(owner, column, scale, toxic, penalty)
     return spark.sparkContext.broadcast(Classifier(place, weight * scale, bias, sizes))
 
 
