@@ -12,9 +12,12 @@ def _star(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with the least neighbour ``m`` of each u beside them.
 
     Least neighbours are aggregated and then joined back, so that a hub's edges never
-    meet in one group.
+    meet in one group. The few rows of the aggregate are dealt out once more: then both
+    sides come to the join by an exchange of its own, and Spark can split a hub's share.
     """
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).repartition(parts)
+    return edges.join(least, "u")
 
 
 def _settled(edges: DataFrame) -> bool:
