@@ -24,7 +24,7 @@ from reviewsieve.llm.tokens import BatchTokenizer
 SIZE = 2048
 END_ID = 1
 # Pieces of one length that are ranked together.
-CELL_ROWS = 20_000
+CELL_ROWS = 500
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
