@@ -7,8 +7,9 @@
 3. Every member of a bucket is tied to the bucket's least class. The components of these
    ties are the candidate families: whatever shares a bucket is in one family.
 4. Families are compared on their full shingle sets, in blocks of at most ``BLOCK``
-   classes. A block pair returns counts and one link per class, never pairs, so a large
-   family costs time but no rows and no task beyond two blocks.
+   classes. A block pair returns counts and a spanning forest of its links, one row per
+   class and never pairs, so a large family costs time but no rows and no task beyond two
+   blocks.
 """
 
 from __future__ import annotations
@@ -129,13 +130,27 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: fl
     return out
 
 
-def _tally(nodes_a, copies_a, nodes_b, copies_b, links) -> list[tuple]:
-    """Per class of A: documents linked to it, and its least linked class."""
-    out = []
-    for i in np.flatnonzero(links.any(axis=1)):
-        to = links[i]
-        out.append((int(nodes_a[i]), int(copies_b[to].sum()), int(nodes_b[to].min())))
-    return out
+def local_roots(links: np.ndarray) -> np.ndarray:
+    """Per row of a symmetric link matrix the least row that can be reached over links."""
+    root = np.full(len(links), -1)
+    for i in range(len(links)):
+        todo = np.array([i]) if root[i] < 0 else ()
+        while len(todo):
+            root[todo] = i
+            todo = np.flatnonzero(links[todo].any(axis=0) & (root < 0))
+    return root
+
+
+def _tally(nodes: np.ndarray, copies: np.ndarray, links: np.ndarray) -> list[tuple]:
+    """Per linked class: documents linked to it, and the class that is its local root.
+
+    Together the roots are a spanning forest of all links of the unit.
+    """
+    root = local_roots(links)
+    return [
+        (int(nodes[i]), int(copies[links[i]].sum()), int(nodes[root[i]]))
+        for i in np.flatnonzero(links.any(axis=1))
+    ]
 
 
 def _compare(threshold: float):
@@ -153,11 +168,13 @@ def _compare(threshold: float):
             (na, ca, sa), (nb, cb, sb) = sides
             if len(sa) > 1 and not sb:
                 links = linked(sa, None, threshold) & (na[:, None] != na[None, :])
-                rows += _tally(na, ca, na, ca, links)
+                rows += _tally(na, ca, links)
             elif sa and sb:
-                links = linked(sa, sb, threshold) & (na[:, None] != nb[None, :])
-                rows += _tally(na, ca, nb, cb, links) + _tally(nb, cb, na, ca, links.T)
-        return pd.DataFrame(rows, columns=["node", "links", "least"])
+                links = np.zeros((len(na) + len(nb),) * 2, np.bool_)
+                links[: len(na), len(na) :] = linked(sa, sb, threshold) & (na[:, None] != nb[None, :])
+                links |= links.T
+                rows += _tally(np.append(na, nb), np.append(ca, cb), links)
+        return pd.DataFrame(rows, columns=["node", "links", "root"])
 
     return run
 
@@ -227,7 +244,7 @@ def similarity_classes(
     )
     found = written(_links(docs, classes, families, words, threshold), "links")
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     state = (
         classes.select("digest", "node", "copies")
         .join(counted, "node", "left")
@@ -254,7 +271,7 @@ def similarity_classes(
 def _links(
     docs: DataFrame, classes: DataFrame, families: DataFrame, words: int, threshold: float
 ) -> DataFrame:
-    """``node, links, least`` per class and task unit; units are sized, families never whole."""
+    """``node, links, root`` per class and task unit; units are sized, families never whole."""
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     members = written(
         families.join(sizes, "family")
@@ -286,5 +303,5 @@ def _links(
     return (
         placed.select("unit", "low", "high", "family", "side", "node", "copies", "shingles")
         .groupBy("unit", "low", "high")
-        .applyInPandas(_compare(threshold), "node bigint, links bigint, least bigint")
+        .applyInPandas(_compare(threshold), "node bigint, links bigint, root bigint")
     )

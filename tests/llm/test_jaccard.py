@@ -72,6 +72,25 @@ def test_planted_groups_equal_brute_force(spark, monkeypatch):
     assert found(spark, rows) == brute_force(rows)
 
 
+def chains(rng, count, length):
+    """Texts that link to the one before and after only, under shuffled ids."""
+    rows = []
+    for c in range(count):
+        long = [f"c{c}x{i}" for i in range(100 + 8 * length)]
+        rows += [" ".join(long[8 * i : 8 * i + 100]) for i in range(length)]
+    ids = rng.sample(range(10 * len(rows)), len(rows))
+    return list(zip(ids, rows, strict=True))
+
+
+@pytest.mark.parametrize("block", [512, 8])  # one block; several blocks
+def test_chains_of_shuffled_ids_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = chains(random.Random(block), 4, 25)
+    expected = brute_force(rows)
+    assert max(n for _, _, n in expected.values()) == 2
+    assert found(spark, rows) == expected
+
+
 def test_given_documents_equal_brute_force(spark):
     docs = table(spark, SF_DIR, "documents").select("doc_id", "text")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
