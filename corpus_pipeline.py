@@ -34,24 +34,21 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies.
+    """The text with the least doc_id of each group of near copies, one row of it.
 
-    Rows that repeat a doc_id leave one of them. Rows without a doc_id are in no group and
-    all stay; so do, one by one, documents without a word.
+    Rows are judged by doc_id and text: texts that share a doc_id without being near copies
+    all stay, repeated rows leave one of them. Rows without a doc_id are in no group and all
+    stay; so do, one by one, texts without a word.
     """
-    later = written(
-        jaccard.similarity_classes(docs)
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("rows"), F.min("class_id").alias("class_id"))
-        .where("doc_id is not null and (rows > 1 or class_id < doc_id)"),
-        "later",
-    )
-    gone = broadcast_if_small(later.select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = later.where("class_id = doc_id").select("doc_id")
+    keys = ["doc_id", "_said"]
+    later = written(jaccard.later_texts(docs).withColumnRenamed("said", "_said"), "later")
+    docs_said = docs.withColumn("_said", jaccard.text_key())
+    gone = broadcast_if_small(later.select(*keys))
+    kept = docs_said.join(gone, keys, "left_anti").select(*docs.columns)
+    again = later.where("first").select(*keys)
     if again.limit(1).count():
-        repeated = docs.join(broadcast_if_small(again), "doc_id", "left_semi")
-        kept = kept.unionByName(repeated.select(*docs.columns).dropDuplicates(["doc_id"]))
+        repeated = docs_said.join(broadcast_if_small(again), keys, "left_semi")
+        kept = kept.unionByName(repeated.dropDuplicates(keys).select(*docs.columns))
     return kept
 
 

@@ -1,6 +1,7 @@
 """Similarity join on word n-grams: MinHash bands find candidates, full sets decide.
 
-1. Texts with the same set of shingles form a class; its least doc_id stands for it.
+1. Texts with the same set of shingles form a class; its least (doc_id, hash of text)
+   stands for it, so texts that share a doc_id are told apart.
 2. Each class gets ``BANDS`` bucket hashes of ``ROWS`` MinHash values each. At Jaccard
    similarity s two classes share a bucket with probability 1 - (1 - s^ROWS)^BANDS:
    0.9998 at the threshold 0.8, 0.03 at 0.4.
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewsieve.llm import wordhash
@@ -72,9 +73,9 @@ def _signatures(words: int, bands: int, rows: int):
                 digests.append(digest)
                 buckets.append(known[digest])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(digests, pa.binary()),
+                [batch.column("doc_id"), batch.column("said"), pa.array(digests, pa.binary()),
                  pa.array(buckets, pa.binary())],
-                ["doc_id", "digest", "buckets"],
+                ["doc_id", "said", "digest", "buckets"],
             )
 
     return run
@@ -83,11 +84,10 @@ def _signatures(words: int, bands: int, rows: int):
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes = [np.frombuffer(b, np.int64) for b in batch.column("buckets").to_pylist()]
-        nodes = batch.column("node").to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         if len(hashes):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(nodes, [len(h) for h in hashes])),
-                 pa.array(np.concatenate(hashes))],
+                [batch.column("node").take(pa.array(owner)), pa.array(np.concatenate(hashes))],
                 ["node", "bucket"],
             )
 
@@ -148,7 +148,7 @@ def _tally(nodes: np.ndarray, copies: np.ndarray, links: np.ndarray) -> list[tup
     """
     root = local_roots(links)
     return [
-        (int(nodes[i]), int(copies[links[i]].sum()), int(nodes[root[i]]))
+        (nodes[i], int(copies[links[i]].sum()), nodes[root[i]])
         for i in np.flatnonzero(links.any(axis=1))
     ]
 
@@ -158,7 +158,7 @@ def _compare(threshold: float):
 
     def run(unit: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
-        unit = unit.drop_duplicates(["node", "side", "shingles"])
+        unit = unit.drop_duplicates(["node", "side"])
         for _, family in unit.groupby("family", sort=False):
             sides = []
             for side in (0, 1):
@@ -167,11 +167,10 @@ def _compare(threshold: float):
                 sides.append((part["node"].to_numpy(), part["copies"].to_numpy(), sets))
             (na, ca, sa), (nb, cb, sb) = sides
             if len(sa) > 1 and not sb:
-                links = linked(sa, None, threshold) & (na[:, None] != na[None, :])
-                rows += _tally(na, ca, links)
+                rows += _tally(na, ca, linked(sa, None, threshold))
             elif sa and sb:
                 links = np.zeros((len(na) + len(nb),) * 2, np.bool_)
-                links[: len(na), len(na) :] = linked(sa, sb, threshold) & (na[:, None] != nb[None, :])
+                links[: len(na), len(na) :] = linked(sa, sb, threshold)
                 links |= links.T
                 rows += _tally(np.append(na, nb), np.append(ca, cb), links)
         return pd.DataFrame(rows, columns=["node", "links", "root"])
@@ -193,6 +192,22 @@ def _shingles(words: int):
     return run
 
 
+def text_key() -> Column:
+    """A hash of the text; beside doc_id it tells texts that share a doc_id apart."""
+    return F.xxhash64("text")
+
+
+def _node() -> Column:
+    """doc_id and hash of text as bytes that sort like the two numbers."""
+    doc_id = F.col("doc_id").cast("bigint").bitwiseXOR(F.lit(-(2**63)))
+    return F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in (doc_id, F.col("said"))])
+
+
+def _doc_id(node: Column) -> Column:
+    number = F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("bigint")
+    return number.bitwiseXOR(F.lit(-(2**63)))
+
+
 def similarity_classes(
     docs: DataFrame,
     words: int = WORDS,
@@ -207,15 +222,63 @@ def similarity_classes(
     lower-case shingles of ``words`` words, copies included; ``class_id``: the least doc_id
     that can be reached over links. Shorter texts are one shingle. Texts without a word
     (null, empty, signs only) and rows without a doc_id are linked to nothing: n_copies 1,
-    n_links 0, their own doc_id as class. A repeated row counts as a copy. Other columns
-    are ignored. An empty table gives an empty result.
+    n_links 0, their own doc_id as class. A repeated row counts as a copy. Rows that
+    share a doc_id but not their text are classed by their own texts. Other columns are
+    ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    docs = docs.select("doc_id", "text")
+    signed, state = _classed(docs, words, threshold, bands, rows)
+    state = state.withColumn("class_id", _doc_id(F.col("label"))).drop("node", "label")
+    return (
+        signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+        .join(written(state, "state"), "digest", "left")
+        .select(
+            "doc_id",
+            F.coalesce("class_id", "doc_id").alias("class_id"),
+            F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        )
+    )
+
+
+def later_texts(
+    docs: DataFrame,
+    words: int = WORDS,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """``doc_id, said, first`` of texts in ``docs`` that are not the only one of their group.
+
+    ``said`` is the ``text_key`` of the row; of each group of near copies the least
+    (doc_id, said) is ``first``. A first text is listed only if rows repeat it. Rows without
+    a doc_id are in no group; of texts without a word only equal ones with one doc_id are.
+    """
+    signed, state = _classed(docs, words, threshold, bands, rows)
+    own = signed.where("doc_id is not null").select("doc_id", "said", "digest", _node().alias("own"))
+    leads = written(state.where("node = label").select("digest", "node"), "leads")
+    return (
+        own.join(leads, "digest", "left")
+        .groupBy("doc_id", "said")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.bool_or(F.col("digest").isNull() | F.coalesce(F.col("own") == F.col("node"), F.lit(False)))
+            .alias("first"),
+        )
+        .where("rows > 1 or not first")
+        .select("doc_id", "said", "first")
+    )
+
+
+def _classed(
+    docs: DataFrame, words: int, threshold: float, bands: int, rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Per row ``doc_id, said, digest``; per digest its ``node, label, n_copies, n_links``."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", text_key().alias("said"))
     signed = written(
         docs.mapInArrow(
-            _signatures(words, bands, rows), "doc_id bigint, digest binary, buckets binary"
+            _signatures(words, bands, rows),
+            "doc_id bigint, said bigint, digest binary, buckets binary",
         ),
         "signed",
     )
@@ -223,14 +286,16 @@ def similarity_classes(
         signed.where("digest is not null and doc_id is not null")
         .groupBy("digest")
         .agg(
-            F.min("doc_id").alias("node"),
+            F.min(F.struct("doc_id", "said")).alias("least"),
             F.count(F.lit(1)).alias("copies"),
             F.any_value("buckets").alias("buckets"),
-        ),
+        )
+        .select("digest", "least.*", "copies", "buckets")
+        .withColumn("node", _node()),
         "classes",
     )
     hashed = classes.select("node", "buckets").mapInArrow(
-        _bucket_rows, "node bigint, bucket bigint"
+        _bucket_rows, "node binary, bucket bigint"
     )
     shared = (
         hashed.groupBy("bucket")
@@ -251,21 +316,13 @@ def similarity_classes(
         .join(labels, "node", "left")
         .select(
             "digest",
-            F.coalesce("label", "node").alias("class_id"),
+            "node",
+            F.coalesce("label", "node").alias("label"),
             F.col("copies").alias("n_copies"),
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         )
     )
-    return (
-        signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-        .join(written(state, "state"), "digest", "left")
-        .select(
-            "doc_id",
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        )
-    )
+    return signed, state
 
 
 def _links(
@@ -275,16 +332,14 @@ def _links(
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     members = written(
         families.join(sizes, "family")
-        .join(classes.select("node", "copies"), "node")
+        .join(classes.select("node", "doc_id", "said", "copies"), "node")
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")),
         "members",
     )
     bins = max(1, math.ceil(members.count() / BLOCK))
-    texts = docs.join(broadcast_if_small(members.withColumnRenamed("node", "doc_id")), "doc_id")
-    sets = texts.select(
-        F.col("doc_id").alias("node"), "family", "blocks", "copies", "text"
-    ).mapInArrow(
-        _shingles(words), "node bigint, family bigint, blocks int, copies bigint, shingles binary"
+    texts = docs.join(broadcast_if_small(members), ["doc_id", "said"])
+    sets = texts.select("node", "family", "blocks", "copies", "text").mapInArrow(
+        _shingles(words), "node binary, family binary, blocks int, copies bigint, shingles binary"
     )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = (
@@ -303,5 +358,5 @@ def _links(
     return (
         placed.select("unit", "low", "high", "family", "side", "node", "copies", "shingles")
         .groupBy("unit", "low", "high")
-        .applyInPandas(_compare(threshold), "node bigint, links bigint, root bigint")
+        .applyInPandas(_compare(threshold), "node binary, links bigint, root binary")
     )

@@ -119,6 +119,14 @@ def test_repeated_rows_empty_table_and_extra_columns(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "class_id", "n_copies", "n_links"]
 
 
+def test_texts_that_share_a_doc_id(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(80)) for c in "abc")
+    rows = [(3, one), (5, one + " more"), (5, two), (5, three), (-7, three + " more"), (5, two)]
+    got = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(tuple(r) for r in jaccard.similarity_classes(got).collect())
+    assert got == [(-7, -7, 1, 1), (3, 3, 1, 1), (5, -7, 1, 1), (5, 3, 1, 1), (5, 5, 2, 1), (5, 5, 2, 1)]
+
+
 def test_bands_reach_their_recall():
     rng = np.random.default_rng(1)
     hits = 0

@@ -65,3 +65,13 @@ def test_stages_take_unusual_rows(spark):
         assert stage(spark, docs, SF_DIR).columns == docs.columns
         assert stage(spark, docs.where(F.lit(False)), SF_DIR).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() >= len(odd)
+
+
+def test_texts_that_share_a_doc_id_go_one_by_one(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(80)) for c in "abc")
+    rows = [(3, one), (5, one + " more"), (5, two), (5, two), (5, three), (6, two.upper()),
+            (8, None), (8, None), (8, "!"), (None, two)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, SF_DIR).collect()]
+    expected = [(3, one), (5, two), (5, three), (8, None), (8, "!"), (None, two)]
+    assert sorted(left, key=str) == sorted(expected, key=str)
