@@ -214,7 +214,8 @@ def train(labelled: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE, ord
 
     About ``texts_per_language`` whole texts of each language are drawn by a hash of doc_id
     and text length, so their number, and with it the model, is bounded; half as many other
-    texts set the limits.
+    texts set the limits. A language whose drawn texts all fall among these is learned from
+    them, and its limit stays open.
     """
     spark = labelled.sparkSession
     bounded_batches(spark)
@@ -228,15 +229,22 @@ def train(labelled: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE, ord
     drawn = labelled.withColumn("_mark", mark / share[F.col("lang")]).where("_mark < 1")
     learn, rest = drawn.where("_mark < 2.0 / 3"), drawn.where("_mark >= 2.0 / 3")
     counts: dict[str, dict[str, int]] = {k: {} for k in sizes}
-    rows = (
-        learn.select("lang", "text")
-        .mapInArrow(_grams(order), "lang string, gram string, n bigint")
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()
-    )
-    for lang, gram, n in zip(rows["lang"], rows["gram"], rows["n"].tolist(), strict=True):
-        counts[lang][gram] = n
+
+    def count(texts: DataFrame) -> None:
+        rows = (
+            texts.select("lang", "text")
+            .mapInArrow(_grams(order), "lang string, gram string, n bigint")
+            .groupBy("lang", "gram")
+            .agg(F.sum("n").alias("n"))
+            .toPandas()
+        )
+        for lang, gram, n in zip(rows["lang"], rows["gram"], rows["n"].tolist(), strict=True):
+            counts[lang][gram] = n
+
+    count(learn)
+    if few := [k for k, v in counts.items() if not v]:
+        count(rest.where(F.col("lang").isin(few)))
+        rest = rest.where(~F.col("lang").isin(few))
     counts = {k: v for k, v in counts.items() if v}
     if not counts:
         return None

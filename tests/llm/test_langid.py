@@ -82,3 +82,16 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(docs, None).first()["lang_pred"] == "und"
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.identify(empty, langid.train(spark.createDataFrame([(1, "abc", "l")] * 9, SCHEMA))).count() == 0
+
+
+def test_language_whose_texts_all_fall_to_calibration(spark):
+    mark = F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1 << 20)) / float(1 << 20)
+    late = spark.range(50).where(mark >= 2.0 / 3).first()["id"]
+    rows = [(i, f"the cat and dog number {i} sat on a mat", "en") for i in range(100, 130)]
+    rows += [(late, "zażółć gęślą jaźń źdźbło", "pl")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs)
+    assert model.value.languages == ["en", "pl"]
+    assert np.isfinite(model.value.limit[0]) and np.isinf(model.value.limit[1])
+    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid.identify(docs, model).collect()}
+    assert got[late] == ("pl", False)
