@@ -83,9 +83,17 @@ def item_shingles(text: str, words: int) -> tuple[np.ndarray, int]:
 
 
 def index_items(
-    items: list[tuple[int, str]], words: int = WORDS, radius: int = RADIUS, parts: int = PARTS
+    items: list[tuple[int, str]],
+    words: int = WORDS,
+    radius: int = RADIUS,
+    parts: int = PARTS,
+    every: tuple[int, dict[int, int]] | None = None,
 ) -> Items:
-    """Index of one block. A shingle weighs the less, the more items of the block hold it."""
+    """Index of one block. A shingle weighs the less, the more items hold it.
+
+    ``every``: number of all items, and of those that hold a shingle that several hold;
+    None if the block is all there is.
+    """
     ids, sizes, shingles = [], [], []
     for item_id, text in items:
         found, n = item_shingles(text, words)
@@ -94,15 +102,16 @@ def index_items(
             sizes.append(n)
             shingles.append(found)
     held = Counter(s for found in shingles for s in set(found.tolist()))
-    usual = float(np.log1p(len(ids)))
-    weight = {s: float(np.log1p(len(ids) / n)) for s, n in held.items()}
+    total, several = every or (len(ids), held)
+    usual = float(np.log1p(total))
+    weight = {s: float(np.log1p(total / n)) for s, n in several.items()}
     prints = np.zeros(len(ids), np.uint64)
     sizes_of: dict[int, set[int]] = {}
     filed: dict[int, list[dict[int, list[int]]]] = {}
     seen = np.zeros(1 << _FILTER_BITS, np.bool_)
     width = BITS // parts
     for i, found in enumerate(shingles):
-        weights = np.array([weight[s] for s in found.tolist()])
+        weights = np.array([weight.get(s, usual) for s in found.tolist()])
         prints[i] = fingerprint(simhash(found, weights)[-1])
         seen[(found & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
         for s in set(found.tolist()):
@@ -270,10 +279,9 @@ def contaminated(
     spark = docs.sparkSession
     bounded_batches(spark)
     schema = "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, similarity double"
-    blocks = _item_blocks(items)
     out = None
-    for block in blocks:
-        index = spark.sparkContext.broadcast(index_items(block, words, radius, parts))
+    for block, every in _item_blocks(items, words):
+        index = spark.sparkContext.broadcast(index_items(block, words, radius, parts, every))
         found = docs.select("doc_id", "text").mapInArrow(
             _search(index, words, threshold, radius, parts), schema
         )
@@ -290,8 +298,10 @@ def clean_only(
     parts: int = PARTS,
 ) -> DataFrame:
     """Rows of ``docs`` in which ``contaminated`` finds nothing, with all their columns."""
-    for block in _item_blocks(items):
-        index = docs.sparkSession.sparkContext.broadcast(index_items(block, words, radius, parts))
+    for block, every in _item_blocks(items, words):
+        index = docs.sparkSession.sparkContext.broadcast(
+            index_items(block, words, radius, parts, every)
+        )
 
         def clean(texts: list[str], index=index) -> np.ndarray:
             out = np.ones(len(texts), np.bool_)
@@ -303,14 +313,41 @@ def clean_only(
     return docs
 
 
-def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, ``ITEM_BLOCK`` of them at a time: that bounds driver and broadcast."""
+def _held(words: int):
+    """The distinct shingles of each item, and a null for the item itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in texts_of(batch.column("text")):
+                found, n = item_shingles(text, words)
+                if n:
+                    rows = [None, *np.unique(found).view(np.int64).tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64())], ["shingle"])
+
+    return run
+
+
+def _counted(items: DataFrame, words: int) -> tuple[int, dict[int, int]]:
+    """The number of items with words, and of those that hold each shingle of several."""
+    counts = items.select("text").mapInArrow(_held(words), "shingle bigint").groupBy("shingle")
+    rows = counts.count().where("shingle is null or count > 1").collect()
+    total = sum(r["count"] for r in rows if r["shingle"] is None)
+    several = {r["shingle"] % 2**64: r["count"] for r in rows if r["shingle"] is not None}
+    return total, several
+
+
+def _item_blocks(items: DataFrame, words: int) -> Iterator[tuple[list[tuple[int, str]], tuple | None]]:
+    """The items, ``ITEM_BLOCK`` of them at a time, and the counts over all of them.
+
+    Blocks bound the items on the driver and in a broadcast; beside them stand the shingles
+    that several items hold. A shingle of one item has the usual weight and is not listed.
+    """
     held = items.where("text is not null").select("item_id", "text")
     total = held.count()
     if total <= ITEM_BLOCK:
         rows = held.orderBy("item_id", "text").collect()
         if rows:
-            yield [(r["item_id"], r["text"]) for r in rows]
+            yield [(r["item_id"], r["text"]) for r in rows], None
         return
     count = -(-total * 5 // (4 * ITEM_BLOCK))
     dealt = written(
@@ -319,7 +356,8 @@ def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         ),
         "items",
     )
+    every = _counted(dealt, words)
     for block in range(count):
         rows = dealt.where(F.col("_block") == block).orderBy("item_id", "text").collect()
         if rows:
-            yield [(r["item_id"], r["text"]) for r in rows]
+            yield [(r["item_id"], r["text"]) for r in rows], every

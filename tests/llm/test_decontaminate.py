@@ -91,6 +91,16 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert {k for k in whole} == {k for k in parts}
 
 
+def test_similarity_does_not_depend_on_blocks(spark, monkeypatch):
+    common = " ".join(f"c{n}" for n in range(20))  # held by all items, so it weighs little
+    items = [(i, common + " " + " ".join(f"i{i}x{n}" for n in range(20))) for i in range(12)]
+    docs = [(i, "y " + " ".join(text.split()[:-1]) + " z") for i, text in items]
+    _, whole = found(spark, docs, items)
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 3)
+    _, parts = found(spark, docs, items)
+    assert len(whole) == 12 and parts == pytest.approx(whole)
+
+
 def test_empty_tables_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e", "z", 4)], DOCS + ", item_id string, similarity int")
     items = spark.createDataFrame([(2, "a b c d e", 1)], ITEMS + ", doc_id int")
