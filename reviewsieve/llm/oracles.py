@@ -4,6 +4,16 @@ from __future__ import annotations
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+
+def _crc32(value: str) -> str:
+    """CRC-32 of a whole number's decimal text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda v, z: xor(v >> 1, (v & 1) * 3988292384))))"""
+
+
 ORACLES: dict[str, str] = {
     # All pairs of documents that share a five-word shingle, then what can be reached by links.
     "op1_ngram_jaccard_join": r"""
@@ -65,4 +75,65 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM payloads JOIN firsts USING (html)""",
+    # All nodes level by level, first of each language's tree, then of the tree over languages.
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE said AS (
+  SELECT *, concat(
+      coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'),
+      coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    coalesce(""" + _crc32("doc_id") + r""" % 7 = 0, false) AS tampered
+  FROM (SELECT doc_id, source, lang, text, n_chars FROM documents)),
+leaves AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS tree, sha256(concat(head,
+      coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'), tail)) AS leaf,
+    CASE WHEN tampered THEN sha256(concat(head,
+      coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-'), tail)) END AS changed
+  FROM said),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, i AS p, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, p // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY p))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, p // 2),
+subroots AS (
+  SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS g, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, g AS p, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, p // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY p))
+  FROM upper WHERE n > 1 GROUP BY level, p // 2),
+heights AS (SELECT tree, max(level) AS h FROM nodes GROUP BY tree),
+steps AS (
+  SELECT d.doc_id, d.tree, d.i, k.level, s.digest AS sibling, (d.i >> k.level) % 2 = 1 AS is_left
+  FROM placed d JOIN heights t USING (tree)
+  JOIN (SELECT DISTINCT tree, level FROM nodes) k ON k.tree = d.tree AND k.level < t.h
+  LEFT JOIN nodes s ON s.tree = d.tree AND s.level = k.level AND s.p = xor(d.i >> k.level, 1)
+  UNION ALL
+  SELECT d.doc_id, d.tree, d.i, t.h + k.level, s.digest, (r.g >> k.level) % 2 = 1
+  FROM placed d JOIN heights t USING (tree) JOIN subroots r USING (tree)
+  JOIN (SELECT DISTINCT level FROM upper) k ON k.level < (SELECT max(level) FROM upper)
+  LEFT JOIN upper s ON s.level = k.level AND s.p = xor(r.g >> k.level, 1)),
+paths AS (
+  SELECT tree, i, list({'sibling': sibling, 'is_left': is_left} ORDER BY level) AS path,
+         coalesce(string_agg(sibling, '' ORDER BY level), '') AS said
+  FROM steps GROUP BY tree, i),
+folding AS (
+  SELECT d.doc_id, d.tree, d.i, 1 AS k, coalesce(changed, leaf) AS node,
+         coalesce(path, []) AS path
+  FROM placed d LEFT JOIN paths USING (tree, i)
+  UNION ALL
+  SELECT doc_id, tree, i, k + 1, sha256(CASE WHEN path[k].sibling IS NULL THEN node
+           WHEN path[k].is_left THEN path[k].sibling || node ELSE node || path[k].sibling END), path
+  FROM folding WHERE k <= len(path))
+SELECT d.doc_id, d.leaf, r.subroot, u.digest AS root, sha256(coalesce(p.said, '')) AS proof_sha256,
+       f.node AS folded_root, f.node = u.digest AS verified
+FROM placed d JOIN subroots r USING (tree) LEFT JOIN paths p USING (tree, i)
+JOIN folding f ON f.tree = d.tree AND f.i = d.i AND f.k = len(f.path) + 1
+CROSS JOIN (SELECT digest FROM upper WHERE n = 1) u""",
 }

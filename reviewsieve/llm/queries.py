@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewsieve.llm import (
@@ -10,6 +10,7 @@ from reviewsieve.llm import (
     decontaminate,
     jaccard,
     langid,
+    merkle,
     nearest,
     ngramlm,
     packing,
@@ -103,6 +104,28 @@ def uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+
+    def digest(n_chars: Column) -> Column:
+        return merkle.record_digest(
+            [F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")]
+        )
+
+    more = F.col("n_chars").cast("decimal(20,0)") + F.lit(1)
+    tampered = F.col("doc_id").isNotNull() & (remainder("doc_id", 7) == 0)
+    manifest = merkle.build(
+        docs, digest(F.col("n_chars")), "lang", "doc_id",
+        {"doc_id": F.col("doc_id"), "given": F.when(tampered, F.unhex(digest(more)))},
+    )
+    proved = merkle.proofs(manifest)
+    given = F.coalesce(F.lower(F.hex("given")), F.col("leaf"))
+    return merkle.folded(proved.withColumn("given", given), "given").select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        F.equal_null("folded_root", "root").alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard,
     "op2_packing": packed_documents,
@@ -114,6 +137,7 @@ QUERIES = {
     "op8_decontamination": benchmark_matches,
     "op9_sharding": uniform_shards,
     "op10_lm_scoring": text_probabilities,
+    "op11_merkle_manifest": merkle_proofs,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
