@@ -136,4 +136,44 @@ SELECT d.doc_id, d.leaf, r.subroot, u.digest AS root, sha256(coalesce(p.said, ''
 FROM placed d JOIN subroots r USING (tree) LEFT JOIN paths p USING (tree, i)
 JOIN folding f ON f.tree = d.tree AND f.i = d.i AND f.k = len(f.path) + 1
 CROSS JOIN (SELECT digest FROM upper WHERE n = 1) u""",
+    # Nodes are strings of turn digests of one length, so a subtree is what begins alike.
+    "op13_conversation_trie": r"""
+WITH said AS (
+  SELECT conv_id, turn, text, sha256(strlen(role) || ':' || role || text) AS id
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+  WHERE conv_id IS NOT NULL),
+ordered AS (
+  SELECT conv_id, id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(id, 1, 32)) AS pos
+  FROM said),
+members AS (
+  SELECT conv_id, """ + _crc32("conv_id") + r""" % 4 AS h FROM (SELECT DISTINCT conv_id FROM said)),
+rebuilt AS (
+  SELECT m.conv_id, false AS own, o.pos, o.id, o.words
+  FROM members m JOIN ordered o ON o.conv_id = m.conv_id - m.conv_id % 20 AND o.pos <= m.h
+  UNION ALL
+  SELECT m.conv_id, true, o.pos, o.id, o.words
+  FROM members m JOIN ordered o ON o.conv_id = m.conv_id AND o.pos > m.h),
+prefixes AS (
+  SELECT conv_id, words, row_number() OVER w AS depth, string_agg(id, '') OVER w AS node
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM members),
+lengths AS (SELECT conv_id, max(depth) AS n FROM prefixes GROUP BY conv_id),
+nodes AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE depth = n), '') AS ends
+  FROM prefixes JOIN lengths USING (conv_id) GROUP BY depth, node),
+children AS (
+  SELECT p.node, count(c.node) AS n
+  FROM nodes p LEFT JOIN nodes c ON c.depth = p.depth + 1 AND left(c.node, -64) = p.node
+  GROUP BY p.node),
+below AS (
+  SELECT a.node, count(*) FILTER (WHERE k.n = 0) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved
+  FROM nodes a JOIN nodes b ON starts_with(b.node, a.node) JOIN children k ON k.node = b.node
+  GROUP BY a.node)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, k.n AS n_children, b.n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM nodes a JOIN children k USING (node) JOIN below b USING (node)
+LEFT JOIN nodes p ON a.depth > 0 AND p.depth = a.depth - 1 AND p.node = left(a.node, -64)""",
 }

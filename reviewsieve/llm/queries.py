@@ -14,8 +14,10 @@ from reviewsieve.llm import (
     nearest,
     ngramlm,
     packing,
+    secrets,
     sharding,
     toxicity,
+    trie,
     warc,
 )
 from reviewsieve.llm.frames import remainder, table
@@ -126,6 +128,31 @@ def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+
+    def joined(spans: Column) -> Column:
+        text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+        return F.array_join(F.transform(spans, text), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[number(kind) for kind in secrets.KINDS[:3]],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = trie.ordered_turns(conversations)
+    members = turns.select("conv_id").distinct()
+    return trie.prefix_trie(trie.shared_openings(turns, members), members)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard,
     "op2_packing": packed_documents,
@@ -138,6 +165,8 @@ QUERIES = {
     "op9_sharding": uniform_shards,
     "op10_lm_scoring": text_probabilities,
     "op11_merkle_manifest": merkle_proofs,
+    "op12_secret_scan": secret_spans,
+    "op13_conversation_trie": conversation_trie,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
