@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewsieve.operators import models, policies, pool
-from reviewsieve.operators.distances import min_distances
+from reviewsieve.operators.carried import carried_distances
 from reviewsieve.operators.pool import ROUND, RUN
 from reviewsieve.operators.variance import pick_min_variance
 from reviewsieve.session import broadcast_if_small, cut_lineage
@@ -27,7 +28,19 @@ def start_log(seeds: DataFrame, run_policies: list[str], run: int = 0) -> DataFr
     )
 
 
-def acquire_round(
+class Round(NamedTuple):
+    """The next round's rows, and the distances to hand to the round after it."""
+
+    picks: DataFrame
+    distances: DataFrame | None
+
+
+def acquire_round(features: DataFrame, judged: DataFrame, log: DataFrame, *args, **options) -> DataFrame:
+    """The picks of ``next_round``, for callers that carry nothing from round to round."""
+    return next_round(features, judged, log, *args, **options).picks
+
+
+def next_round(
     features: DataFrame,
     judged: DataFrame,
     log: DataFrame,
@@ -35,26 +48,25 @@ def acquire_round(
     reveal_size: int = 1,
     seed: int = 0,
     threshold: float = policies.ADAPTIVE_THRESHOLD,
-    estimator=models.default_estimator,
-) -> DataFrame:
+    estimator=None,
+    distances: DataFrame | None = None,
+) -> Round:
     """The next round's rows of every run in ``log`` that is not done.
 
     ``features``: ``topic, pmid, features``; ``judged``: ``topic, pmid, label``. The caller
-    appends the result to the log and calls again. Articles without a judgement stay out of
+    appends the picks to the log and calls again. Articles without a judgement stay out of
     the pool; runs that cannot be fitted get no rows (``models.rejected_runs`` lists them).
-    Models are fitted for score policies
-    only, on a table of labelled articles that is written once.
+    ``distances`` is what the round before returned; with it the diversity policy measures its
+    candidates only against the articles labelled since, without it against all of them. The
+    result is the same. Models are fitted for score policies only.
     """
-    states = pool.run_state(log, judged).where(~F.col("done")).collect()
-    if not states:
-        return log.where(F.lit(False))
-    for state in states:
-        policies.check_parameters(state.policy, batch_size, reveal_size)
-    spark = log.sparkSession
-    open_runs = spark.createDataFrame(
-        [(s.topic, s.policy, s.run, s.last_round + 1, s.recall) for s in states],
-        "topic string, policy string, run int, round int, recall double",
-    )
+    states = cut_lineage(pool.run_state(log, judged).where(~F.col("done")))
+    names = [row.policy for row in states.select("policy").distinct().collect()]
+    if not names:
+        return Round(log.where(F.lit(False)), distances)
+    for name in names:
+        policies.check_parameters(name, batch_size, reveal_size)
+    open_runs = states.select(*RUN, (F.col("last_round") + 1).cast("int").alias("round"), "recall")
 
     # Only judged articles can be revealed, so only those are drawn.
     known = judged.select("topic", "pmid").dropDuplicates()
@@ -63,34 +75,28 @@ def acquire_round(
     drawn = pool.candidates(here, batch_size, seed)
     if batch_size > 0:
         drawn = broadcast_if_small(cut_lineage(drawn))
-    rows = features.join(drawn, ["topic", "pmid"])
-    rows = cut_lineage(rows)
-    labelled = cut_lineage(
-        features.join(broadcast_if_small(log.select(*RUN, "pmid", "label")), ["topic", "pmid"])
-    )
-
-    def of(*names: str) -> list:
-        return [s for s in states if s.policy in names]
+    rows = cut_lineage(features.join(drawn, ["topic", "pmid"]))
+    revealed = log.select(*RUN, "round", "rank_in_round", "pmid", "label")
+    labelled = cut_lineage(features.join(broadcast_if_small(revealed), ["topic", "pmid"]))
 
-    def only(*names: str) -> tuple[DataFrame, DataFrame]:
-        mine = F.col("policy").isin(*names)
+    def only(*wanted: str) -> tuple[DataFrame, DataFrame] | None:
+        if not set(wanted) & set(names):
+            return None
+        mine = F.col("policy").isin(*wanted)
         return rows.where(mine), labelled.where(mine)
 
     picks = []
-    if of(*policies.SCORED):
-        mine, known = only(*policies.SCORED)
-        scored = models.score(known, mine, of(*policies.SCORED), estimator)
+    if given := only(*policies.SCORED):
+        scored = models.score(given[1], given[0], estimator)
         picks.append(policies.pick_by_margin(scored, reveal_size, threshold))
-    if of("random"):
-        picks.append(policies.pick_random(only("random")[0], reveal_size))
-    if of("diversity"):
-        mine, known = only("diversity")
-        picks.append(policies.pick_farthest(min_distances(mine, known), reveal_size))
-    if of("clustering"):
-        clustered = models.cluster(only("clustering")[0], of("clustering"), reveal_size, seed)
-        picks.append(policies.pick_per_cluster(clustered))
-    if of("minimum_variance"):
-        mine, known = only("minimum_variance")
-        picks.append(pick_min_variance(mine, known, reveal_size, batch_size))
+    if given := only("random"):
+        picks.append(policies.pick_random(given[0], reveal_size))
+    if given := only("diversity"):
+        measured, distances = carried_distances(*given, distances)
+        picks.append(policies.pick_farthest(measured, reveal_size))
+    if given := only("clustering"):
+        picks.append(policies.pick_per_cluster(models.cluster(given[0], reveal_size, seed)))
+    if given := only("minimum_variance"):
+        picks.append(pick_min_variance(*given, reveal_size, batch_size))
     chosen = reduce(DataFrame.unionByName, [p.select(*ROUND, "rank_in_round", "pmid") for p in picks])
-    return pool.reveal(chosen, judged).select(*log.columns)
+    return Round(pool.reveal(chosen, judged).select(*log.columns), distances)

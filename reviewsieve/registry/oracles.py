@@ -77,8 +77,8 @@ xml_rows AS (
   FROM clean)"""
 
 
-def _with(*parts: str) -> str:
-    return "WITH " + ",".join(part.strip() for part in parts)
+def _with(*parts: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(part.strip() for part in parts)
 
 
 def _log(policies: tuple[str, ...], only: str = "") -> str:
@@ -170,6 +170,121 @@ pick{step} AS (
         FROM gaps{step}) WHERE n = 1)"""
 
 
+def _farthest_step(step: int) -> str:
+    """The five rows farthest from all that is labelled before this round."""
+    earlier = "".join(f" UNION ALL SELECT pmid FROM far{i}" for i in range(1, step))
+    return f""",
+known{step} AS MATERIALIZED (SELECT pmid FROM start{earlier}),
+gaps{step} AS MATERIALIZED (
+  SELECT a.pmid, md5(concat_ws('|', 0, {step}, a.pmid)) AS draw, min(list_distance(a.v, b.v)) AS gap
+  FROM vectors a, known{step} k JOIN vectors b ON b.pmid = k.pmid
+  WHERE a.pmid NOT IN (SELECT pmid FROM known{step}) GROUP BY ALL),
+far{step} AS MATERIALIZED (
+  SELECT 'vectors' AS topic, 'diversity' AS policy, CAST(0 AS INTEGER) AS run,
+         CAST({step} AS INTEGER) AS round,
+         CAST(row_number() OVER (ORDER BY gap, draw, pmid) AS INTEGER) AS rank_in_round, pmid
+  FROM (SELECT *, row_number() OVER (ORDER BY gap DESC, draw, pmid) AS n FROM gaps{step})
+  WHERE n <= 5)"""
+
+
+# Accelerated gradient steps until the fit stands; a step moves by the inverse of a bound on the
+# curvature, a quarter of the sum of squares plus the penalty's.
+_FIT = f""",
+vectors AS (SELECT vec_id AS pmid, list_append(CAST(embedding AS DOUBLE[]), 1.0) AS v FROM embeddings),
+given AS MATERIALIZED (
+  SELECT {RUN}, list(v ORDER BY pmid) AS x, list(CAST(label AS DOUBLE) ORDER BY pmid) AS y
+  FROM log JOIN vectors USING (pmid) GROUP BY {RUN}
+  HAVING count(DISTINCT label) = 2),
+sides AS MATERIALIZED (
+  SELECT *, list_transform(range(1, len(x[1]) + 1), lambda i: list_transform(x, lambda r: r[i])) AS t,
+         1 + list_sum(list_transform(x, lambda r: list_dot_product(r, r))) / 4 AS bend
+  FROM given),
+fit AS (
+  SELECT {RUN}, 0 AS step, list_transform(x[1], lambda z: 0.0::DOUBLE) AS w,
+         list_transform(x[1], lambda z: 0.0::DOUBLE) AS before
+  FROM sides
+  UNION ALL
+  SELECT {RUN}, step + 1,
+         list_transform(range(1, len(ahead) + 1), lambda i: ahead[i] - (list_dot_product(t[i], miss)
+           + CASE WHEN i < len(ahead) THEN ahead[i] ELSE 0 END) / bend), w
+  FROM (
+    SELECT *, list_transform(range(1, len(x) + 1),
+                lambda r: 1 / (1 + exp(-list_dot_product(x[r], ahead))) - y[r]) AS miss
+    FROM (
+      SELECT f.*, s.x, s.y, s.t, s.bend,
+             list_transform(range(1, len(w) + 1), lambda i:
+               w[i] + (sqrt(bend) - 1) / (sqrt(bend) + 1) * (w[i] - before[i])) AS ahead
+      FROM fit f JOIN sides s USING ({RUN}) WHERE step < 600))),
+fitted AS (SELECT {RUN}, w FROM fit WHERE step = 600)"""
+
+# Squared distance of two vectors; seeds of a round; one chance a row and round.
+_GAP = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) ** 2))"
+_CHANCE = "CAST('0x' || substr(md5(concat_ws('|', 0, {0}, h.draw)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+def _seeding(i: int) -> str:
+    return f""",
+near{i} AS MATERIALIZED (
+  SELECT h.run, h.pmid, h.draw, h.v, {_CHANCE.format(i)} AS chance, min({_GAP.format("h.v", "s.v")}) AS gap
+  FROM points h JOIN seeds{i} s ON s.run = h.run GROUP BY ALL),
+seeds{i + 1} AS MATERIALIZED (
+  SELECT * FROM seeds{i} UNION ALL
+  SELECT run, pmid, draw, v FROM (SELECT *, sum(gap) OVER (PARTITION BY run) AS total FROM near{i})
+  WHERE chance * total < 2 * 25 * gap)"""
+
+
+_CLUSTERS = """,
+points AS MATERIALIZED (
+  SELECT h.*, v FROM here h
+  JOIN (SELECT vec_id AS pmid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) USING (pmid)),
+seeds0 AS MATERIALIZED (
+  SELECT run, pmid, draw, v FROM points
+  QUALIFY row_number() OVER (PARTITION BY run ORDER BY draw, pmid) = 1)""" + "".join(
+    _seeding(i) for i in range(3)
+) + f""",
+numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY draw, pmid) AS i FROM seeds3),
+weighed AS (
+  SELECT run, i, count(*) AS weight FROM (
+    SELECT h.run, s.i FROM points h JOIN numbered s ON s.run = h.run
+    QUALIFY row_number() OVER (PARTITION BY h.run, h.pmid ORDER BY {_GAP.format("h.v", "s.v")}, s.i) = 1)
+  GROUP BY run, i),
+offered AS MATERIALIZED (
+  SELECT run, list(v ORDER BY i) AS s, list(coalesce(weight, 0) ORDER BY i) AS w
+  FROM numbered LEFT JOIN weighed USING (run, i) GROUP BY run),
+chosen AS (
+  SELECT run, 1 AS n, [list_position(w, list_max(w))] AS c,
+         list_transform(s, lambda x: {_GAP.format("x", "s[list_position(w, list_max(w))]")}) AS gap
+  FROM offered
+  UNION ALL
+  SELECT run, n + 1, list_append(c, best), list_transform(range(1, len(s) + 1),
+           lambda j: least(gap[j], {_GAP.format("s[j]", "s[best]")}))
+  FROM (
+    SELECT *, list_position(score, list_max(score)) AS best
+    FROM (SELECT f.*, s, list_transform(range(1, len(s) + 1), lambda j: w[j] * gap[j]) AS score
+          FROM chosen f JOIN offered USING (run) WHERE n < 25 AND len(s) > 25))),
+first AS MATERIALIZED (
+  SELECT run, CASE WHEN len(s) <= 25 THEN s ELSE list_transform(c, lambda j: s[j]) END AS m
+  FROM offered JOIN chosen USING (run) QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC) = 1),
+rows_of AS MATERIALIZED (SELECT run, list(v ORDER BY pmid) AS x FROM points GROUP BY run),
+steps AS (
+  SELECT run, 0 AS step, m FROM first
+  UNION ALL
+  SELECT run, step + 1, list_transform(range(1, len(m) + 1), lambda k:
+    CASE WHEN len(list_filter(a, lambda z: z = k)) = 0 THEN m[k] ELSE
+      list_transform(range(1, len(m[k]) + 1), lambda j: list_avg(list_transform(
+        list_filter(range(1, len(x) + 1), lambda r: a[r] = k), lambda r: x[r][j]))) END)
+  FROM (
+    SELECT *, list_transform(d, lambda e: list_position(e, list_min(e))) AS a
+    FROM (SELECT t.*, x, list_transform(x, lambda p: list_transform(m, lambda q: list_distance(p, q))) AS d
+          FROM steps t JOIN rows_of USING (run) WHERE step < 10))),
+grouped AS (
+  SELECT *, list_position(e, list_min(e)) - 1 AS cluster
+  FROM (SELECT h.topic, h.policy, h.run, h.round, h.pmid, h.draw,
+               list_transform(m, lambda q: list_distance(h.v, q)) AS e
+        FROM points h JOIN steps t ON t.run = h.run AND t.step = 10))"""
+
+
 def _curve(policies: tuple[str, ...] = STUDY_POLICIES) -> str:
     return _log(policies) + f""",
 totals AS (
@@ -462,6 +577,41 @@ batch AS (
   WHERE n <= 50)"""
     + "".join(_min_variance_step(i, "batch") for i in (1, 2, 3)) + """
 SELECT * FROM pick1 UNION ALL SELECT * FROM pick2 UNION ALL SELECT * FROM pick3""",
+    "pick_clustering": _with(ITEMS, _pool(("clustering",)), recursive=True) + _CLUSTERS + f"""
+SELECT {RUN}, round, CAST(row_number() OVER (PARTITION BY {RUN} ORDER BY cluster) AS INTEGER)
+       AS rank_in_round, pmid
+FROM (SELECT * FROM grouped
+      QUALIFY row_number() OVER (PARTITION BY {RUN}, cluster ORDER BY draw, pmid) = 1)""",
+    "scores": _with(ITEMS, _pool(("certainty",)), recursive=True) + _FIT + f"""
+SELECT {RUN}, round, pmid, round(1 / (1 + exp(-list_dot_product(v, w))), 4) AS p
+FROM here JOIN fitted USING ({RUN}) JOIN vectors USING (pmid)""",
+    # The two directions of a plane's largest variance in closed form.
+    "projection_plane": """
+WITH points AS (
+  SELECT 'class ' || label AS topic, vec_id AS pmid, CAST(embedding[1] AS DOUBLE) AS a,
+         CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+turned AS (
+  SELECT topic, atan2(2 * covar_samp(a, b), var_samp(a) - var_samp(b)) / 2 AS t
+  FROM points GROUP BY topic),
+axes AS (
+  SELECT topic, cos(t) AS c, sin(t) AS s,
+         CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN sign(cos(t)) ELSE sign(sin(t)) END AS first,
+         CASE WHEN abs(sin(t)) >= abs(cos(t)) THEN sign(-sin(t)) ELSE sign(cos(t)) END AS second
+  FROM turned)
+SELECT topic, pmid, round(first * (a * c + b * s), 4) AS x, round(second * (b * c - a * s), 4) AS y
+FROM points JOIN axes USING (topic)""",
+    "diversity_rounds": _with(ITEMS) + """,
+vectors AS MATERIALIZED (SELECT vec_id AS pmid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+classed AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY draw, pmid) AS n
+  FROM (SELECT *, md5(concat_ws('|', 0, pmid)) AS draw FROM judged)),
+start AS MATERIALIZED (
+  SELECT pmid FROM classed
+  QUALIFY row_number() OVER (ORDER BY CASE WHEN n = 1 THEN label ELSE 2 END, draw, pmid) <= 10)"""
+    + "".join(_farthest_step(i) for i in (1, 2, 3)) + """
+SELECT f.*, label FROM (
+  SELECT * FROM far1 UNION ALL SELECT * FROM far2 UNION ALL SELECT * FROM far3) f
+JOIN judged USING (topic, pmid)""",
     "frame_points": _with(ITEMS, _log(("random", "certainty"), SO_FAR)) + f"""
 
 SELECT l.topic, l.policy, l.run, e.vec_id AS pmid,

@@ -12,7 +12,7 @@ from reviewsieve.operators import (
 )
 from reviewsieve.operators.distances import min_distances
 from reviewsieve.operators.pool import ROUND, RUN
-from reviewsieve.plans.acquire import acquire_round, start_log
+from reviewsieve.plans.acquire import acquire_round, next_round, start_log
 from reviewsieve.plans.study import compare_policies, load_topics
 from reviewsieve.registry import fixtures as fx
 from reviewsieve.session import cut_lineage
@@ -252,26 +252,33 @@ def pick_min_variance_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pick_clustering(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.items(spark, d)
-    states = pool.run_state(fx.log_so_far(rows, ("clustering",)), rows).collect()
     drawn, _ = _item_pool(spark, d, "clustering")
-    clustered = models.cluster(cut_lineage(drawn), states, fx.REVEAL)
-    return policies.pick_per_cluster(clustered).select(*PICKS)
+    return policies.pick_per_cluster(models.cluster(drawn, fx.REVEAL)).select(*PICKS)
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.items(spark, d)
-    states = pool.run_state(fx.log_so_far(rows, ("certainty",)), rows).collect()
     drawn, labelled = _item_pool(spark, d, "certainty")
-    scored = models.score(cut_lineage(labelled), cut_lineage(drawn), states)
-    return scored.select(*ROUND, "pmid", _r("p"))
+    return models.score(labelled, drawn).select(*ROUND, "pmid", _r("p"))
+
+
+def _by_class(spark: SparkSession, d: str) -> DataFrame:
+    """Ready-made vectors, each class a topic."""
+    topic = F.concat(F.lit("class "), F.col("label").cast("string")).alias("topic")
+    features = F.col("embedding").cast("array<double>").alias("features")
+    return fx.table(spark, d, "embeddings").select(topic, F.col("vec_id").alias("pmid"), features)
 
 
 def projection(spark: SparkSession, d: str) -> DataFrame:
-    return models.project(fx.items(spark, d), ["topic", "pmid"]).select("pmid", _r("x"), _r("y"))
+    points = models.project(_by_class(spark, d), ["topic", "pmid"])
+    return points.select("topic", "pmid", _r("x"), _r("y"))
+
 
+def projection_plane(spark: SparkSession, d: str) -> DataFrame:
+    rows = _by_class(spark, d).withColumn("features", F.slice("features", 1, 2))
+    return models.project(rows, ["topic", "pmid"]).select("topic", "pmid", _r("x"), _r("y"))
 
-def next_round(spark: SparkSession, d: str) -> DataFrame:
+
+def first_of_all_policies(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.items(spark, d)
     log = start_log(seeds.start_pool(rows, 10), list(policies.POLICIES))
     return acquire_round(
@@ -280,6 +287,18 @@ def next_round(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def diversity_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds of whole pools in a row, with distances carried from each to the next."""
+    rows = fx.items(spark, d)
+    features, judged = rows.select("topic", "pmid", "features"), rows.select("topic", "pmid", "label")
+    log = cut_lineage(start_log(seeds.start_pool(rows, 10), ["diversity"]))
+    distances = None
+    for _ in range(3):
+        step = next_round(features, judged, log, 0, 5, distances=distances)
+        log, distances = cut_lineage(log.unionByName(step.picks)), step.distances
+    return log.where("round > 0").select(*PICKS, "label")
+
+
 def frame_points(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.items(spark, d)
     xy = rows.select("topic", "pmid", F.col("features")[0].alias("x"), F.col("features")[1].alias("y"))
@@ -423,7 +442,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pick_clustering": pick_clustering,
     "scores": scores,
     "projection": projection,
-    "acquire_round": next_round,
+    "projection_plane": projection_plane,
+    "acquire_round": first_of_all_policies,
+    "diversity_rounds": diversity_rounds,
     "frame_points": frame_points,
     "frame_sizes": frame_sizes,
     "recall_curve": recall_curve,

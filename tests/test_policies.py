@@ -133,14 +133,9 @@ def test_min_variance_without_labelled_rows(spark, batch_size):
     assert picked(got) == [want]
 
 
-def states_of(spark, labelled, drawn):
-    log = labelled.select(*pool.RUN, F.lit(0).alias("round"), "pmid", "label")
-    return pool.run_state(log, features(spark)).collect()
-
-
 def test_fit_meets_the_optimality_condition(spark):
     drawn, labelled = pool_and_labelled(spark, "certainty")
-    scored = models.score(cut_lineage(labelled), drawn, states_of(spark, labelled, drawn))
+    scored = models.score(labelled, drawn)
     p = {r.pmid: r.p for r in scored.collect()}
     rows = labelled.collect()
     x = np.array([r.features for r in rows])
@@ -153,16 +148,17 @@ def test_fit_meets_the_optimality_condition(spark):
         gradient = design.T @ (q - y) + penalty @ w
         w -= np.linalg.solve((design * (q * (1 - q))[:, None]).T @ design + penalty, gradient)
     want = {k: 1 / (1 + np.exp(-(np.r_[v, 1.0] @ w))) for k, v in arrays(drawn).items()}
-    assert p == pytest.approx(want, abs=1e-5)
+    assert p == pytest.approx(want, abs=1e-9)
+    one_by_one = models.score(cut_lineage(labelled), drawn, models.default_estimator).collect()
+    assert {r.pmid: r.p for r in one_by_one} == pytest.approx(p, abs=1e-6)
 
 
 def test_other_estimators_and_single_class(spark):
     drawn, labelled = pool_and_labelled(spark, "certainty")
-    states = states_of(spark, labelled, drawn)
     trees = lambda n: GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=2)
-    assert models.score(cut_lineage(labelled), drawn, states, trees).where("p between 0 and 1").count() == 78
+    assert models.score(cut_lineage(labelled), drawn, trees).where("p between 0 and 1").count() == 78
     one = labelled.where("label = 0")
-    assert models.score(one, drawn, states_of(spark, one, drawn)).count() == 0
+    assert models.score(one, drawn).count() == models.score(one, drawn, trees).count() == 0
 
 
 def test_a_run_of_one_class_does_not_stop_the_others(spark):
@@ -188,7 +184,7 @@ def test_topics_with_nothing_to_find_go_on_and_unjudged_articles_stay_out(spark)
 
 def test_clustering_picks_one_per_cluster(spark):
     drawn, labelled = pool_and_labelled(spark, "clustering")
-    clustered = cut_lineage(models.cluster(cut_lineage(drawn), states_of(spark, labelled, drawn), 6))
+    clustered = cut_lineage(models.cluster(drawn, 6))
     picks = policies.pick_per_cluster(clustered)
     chosen = picks.join(clustered, "pmid").select("cluster").collect()
     assert sorted(r.cluster for r in chosen) == list(range(len(chosen))) and 1 < len(chosen) <= 6
