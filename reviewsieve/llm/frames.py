@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +30,31 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written as Parquet to the shared folder and read again."""
+def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """The table, written as Parquet to the shared folder and read again.
+
+    ``row_group`` bounds the bytes that a task gathers before it writes them; tables with whole
+    texts want less than the usual 128 MB, for all tasks of an executor gather at once.
+    """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def keep_rows(docs: DataFrame, wanted: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """Rows of ``docs`` whose text is ``wanted``, decided batch by batch where the rows are.
 
-    All columns stay as they are and nothing is shuffled.
+    Only the text goes to Python and only the decision comes back. All columns stay as they are
+    and nothing is shuffled.
     """
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(wanted(texts_of(batch.column("text")))))
+    @F.arrow_udf("boolean")
+    def keep(texts: pa.Array) -> pa.Array:
+        return pa.array(wanted(texts_of(texts)), pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(keep("text"))
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:

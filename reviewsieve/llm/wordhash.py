@@ -44,11 +44,17 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _power(n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """Powers 1..n of the base; those of a usual batch are kept."""
-    if n > len(_POWERS.get(int(base), ())):
+    """Powers 1..n of the base; those of a usual batch are kept, a longer text's are not."""
+    usual = BATCH_CHARS + 1000
+    kept = _POWERS.get(int(base))
+    if kept is None or n > usual:
         with np.errstate(over="ignore"):
-            _POWERS[int(base)] = np.cumprod(np.full(max(n, BATCH_CHARS + 1000), base, np.uint64))
-    return _POWERS[int(base)][:n]
+            powers = np.cumprod(np.full(max(n, usual), base, np.uint64))
+        if kept is None:
+            kept = _POWERS[int(base)] = powers[:usual].copy()
+        if n > usual:
+            return powers[:n]
+    return kept[:n]
 
 
 def classify(points: np.ndarray, kind: Callable[[str], int]) -> np.ndarray:
