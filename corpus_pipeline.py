@@ -7,8 +7,6 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 import reviewsieve
 from reviewsieve.llm import decontaminate, jaccard, langid, packing, toxicity
@@ -74,11 +72,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+# Bytes of whole texts that a task gathers before it writes them.
+ROW_GROUP = 16 * 1024 * 1024
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; every stage's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), ROW_GROUP)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
