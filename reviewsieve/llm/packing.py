@@ -9,6 +9,7 @@ the pieces of their length.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -30,47 +31,47 @@ CELL_ROWS = 500
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
     """``(count, lengths)`` of packs for a histogram of piece lengths from 1 to ``size``.
 
-    Packs are held by their fill. A length goes to packs of the smallest fill, all of one
-    pattern together, until it is used up; what finds no room opens new packs. With p
-    patterns this takes p splits at most per length, whatever the counts are.
+    Packs are held by their fill. A step places one piece each into as many packs of the smallest
+    fill with room as there are, so the next step looks for the smallest fill anew; what finds
+    no room opens new packs, each filled before the next one. The number of steps follows the
+    patterns, not the counts.
     """
     open_: dict[int, list[list]] = {}
+    fills: list[int] = []
     closed: list[tuple[int, tuple[int, ...]]] = []
+
+    def hold(count: int, lengths: tuple[int, ...]) -> None:
+        fill = sum(lengths)
+        if not count:
+            return
+        if fill == size:
+            closed.append((count, lengths))
+            return
+        if fill not in open_:
+            heapq.heappush(fills, fill)
+        open_.setdefault(fill, []).append([count, lengths])
+
     for length in sorted((n for n, count in histogram.items() if count), reverse=True):
         left = histogram[length]
         while left:
-            room = [fill for fill in open_ if fill + length <= size]
-            if not room:
+            while fills and fills[0] not in open_:
+                heapq.heappop(fills)
+            if not fills or fills[0] + length > size:
                 fit = size // length
                 whole, rest = divmod(left, fit)
-                for count, times in ((whole, fit), (1 if rest else 0, rest)):
-                    _hold(open_, closed, count, (length,) * times, size)
+                hold(whole, (length,) * fit)
+                hold(1 if rest else 0, (length,) * rest)
                 break
-            fill = min(room)
-            count, lengths = open_[fill].pop()
-            if not open_[fill]:
-                del open_[fill]
-            fit = (size - fill) // length
-            if left >= fit:
-                times, used = fit, min(count, left // fit)
-            else:
-                times, used = left, 1
-            _hold(open_, closed, count - used, lengths, size)
-            _hold(open_, closed, used, lengths + (length,) * times, size)
-            left -= used * times
+            count, lengths = open_[fills[0]].pop()
+            if not open_[fills[0]]:
+                del open_[fills[0]]
+            used = min(count, left)
+            hold(count - used, lengths)
+            hold(used, lengths + (length,))
+            left -= used
     return closed + [(c, tuple(p)) for packs in open_.values() for c, p in packs]
 
 
-def _hold(open_: dict, closed: list, count: int, lengths: tuple[int, ...], size: int) -> None:
-    if not count:
-        return
-    fill = sum(lengths)
-    if fill == size:
-        closed.append((count, lengths))
-    else:
-        open_.setdefault(fill, []).append([count, lengths])
-
-
 class Slots:
     """Where the pieces of each length go: by rank, runs of sequences at one offset."""
 

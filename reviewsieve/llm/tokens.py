@@ -7,7 +7,9 @@ before go through the tokenizer, and ids are gathered by word.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
+from hashlib import blake2b
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -18,6 +20,9 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 # The endings that the tokenizer's splitting rule keeps whole after a quote.
 ENDINGS_1 = "stmd"
 ENDINGS_2 = ("re", "ve", "ll")
+# Words of more characters are told apart by a digest of their spelling: two of them with one sum of
+# powers can be written down on purpose.
+LONG = 500
 # Different words that are remembered; then memory starts afresh.
 MEMORY = 400_000
 
@@ -31,6 +36,16 @@ def kind(c: str) -> int:
     return SPACE if group[0] == "Z" or c in "\t\n\x0b\x0c\r\x85" else OTHER
 
 
+@functools.cache
+def assigned(c: str) -> bool:
+    """Whether Python's tables know the character. The tokenizer's may know more of them."""
+    return unicodedata.category(c) != "Cn"
+
+
+def known(text: str) -> bool:
+    return text.isascii() or all(map(assigned, set(text)))
+
+
 def normal(text: str) -> str:
     """NFC, then each character in lower case (a sigma has one lower form here)."""
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -134,7 +149,9 @@ class BatchTokenizer:
         out: list[np.ndarray] = []
         for begin, end in wordhash.batches(texts):
             part = texts[begin:end]
-            whole = {i for i, t in enumerate(part) if any(s in t for s in self.special)}
+            whole = {
+                i for i, t in enumerate(part) if any(s in t for s in self.special) or not known(t)
+            }
             found = self._batch(["" if i in whole else normal(t) for i, t in enumerate(part)])
             for i in whole:
                 coded = self.tokenizer.encode(part[i], add_special_tokens=False)
@@ -146,6 +163,9 @@ class BatchTokenizer:
         points, first = wordhash.code_points(texts)
         start, end = pieces(points)
         hashes = wordhash.span_hashes(points, start, end)
+        for i in np.flatnonzero(end - start > LONG):
+            spelling = blake2b(points[start[i] : end[i]].tobytes(), digest_size=8)
+            hashes[i] = int.from_bytes(spelling.digest(), "little")
         word = self.memory.find(hashes)
         new = np.flatnonzero(word < 0)
         if len(new):

@@ -1,5 +1,6 @@
 """Packing against the tokenizer itself and against the rules of a packing."""
 
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -41,12 +42,56 @@ def test_ids_equal_the_tokenizer(plain):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.characters(exclude_categories=["Cs", "Cn"]), max_size=40), max_size=4))
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), max_size=4))
 def test_ids_of_any_text(texts):
     got = BATCH.ids(texts)
     assert [g.tolist() for g in got] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_of_characters_beyond_the_tables():
+    points = [c for c in map(chr, range(0x20000)) if unicodedata.category(c) == "Cn"]
+    texts = [f"ab{c}cd {c}{c} x" for c in points[::7]] + ["a\u1c89b", "\U000105c0 z"]
+    assert [g.tolist() for g in BATCH.ids(texts)] == [
+        x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)
+    ]
+
+
+def test_ids_of_long_words_with_one_sum_of_powers():
+    """Words of 1024 and 2048 letters on a pattern that sums modulo a power of two cannot tell apart."""
+    one = "a"
+    other = "b"
+    for _ in range(11):
+        one, other = one + other, other + one
+    texts = [f"{one} {other}", f"{other} x {one[:1024]} {other[:1024]}"]
+    assert [g.tolist() for g in BatchTokenizer(PATH).ids(texts)] == [
+        PLAIN.encode(t, add_special_tokens=False).ids for t in texts
+    ]
+
+
+def plain_fills(histogram, size):
+    """Fills of the packs, piece by piece: longest first, into the shortest pack with room."""
+    fills = []
+    for length in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        room = [f for f in fills if f + length <= size]
+        if room:
+            fills.remove(min(room))
+            fills.append(min(room) + length)
+        else:
+            fills.append(length)
+    return sorted(fills)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(0, 30), max_size=12))
+def test_patterns_equal_packing_piece_by_piece(histogram):
+    packs = packing.patterns(histogram, 60)
+    assert sorted(sum(p) for count, p in packs for _ in range(count)) == plain_fills(histogram, 60)
+
+
+def test_a_second_piece_goes_to_the_pack_that_is_shortest_then():
+    assert sorted(packing.patterns({55: 1, 50: 1, 20: 2}, 100)) == [(1, (50, 20)), (1, (55, 20))]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(0, 1000), max_size=30))
 def test_patterns_use_every_piece_once(histogram):
