@@ -165,7 +165,9 @@ def nearest(
     ``vectors`` and ``queries`` hold ``vec_id, embedding``. Rows whose vec_id or embedding is
     null, zero, empty, or holds a null or non-finite component take no part; vectors meet
     vectors of their own width. A query's own vec_id is not among its rows. Equal scores go
-    to the smaller vec_id, then repeated rows to one another. Other columns are ignored.
+    to the smaller vec_id, then repeated rows to one another. A query row that occurs more than
+    once is asked once; of different vectors under one vec_id the shortest is asked, of these
+    the first in the order of their components. Other columns are ignored.
     """
 
     def clean(df: DataFrame) -> DataFrame:
@@ -180,7 +182,10 @@ def nearest(
             .where("norm > 0")
         )
 
-    rows, asked = written(clean(vectors), "rows"), written(clean(queries), "queries")
+    # One vector a query, however often it is asked.
+    first = F.min(F.struct("width", "vector", "norm")).alias("q")
+    once = clean(queries).groupBy("vec_id").agg(first).select("vec_id", "q.vector", "q.width", "q.norm")
+    rows, asked = written(clean(vectors), "rows"), written(once, "queries")
     about = rows.groupBy("width").agg(F.max("norm").alias("norm"), F.count("*").alias("n")).collect()
     longest = {r["width"]: r["norm"] for r in about}
     row_blocks = max([1, *(math.ceil(r["n"] / ROW_BLOCK) for r in about)])

@@ -82,6 +82,19 @@ def test_odd_vectors_take_no_part(spark):
     assert got == {0: [(3, 1.0), (3, 1.0)], 60: [(4, 6.0)]}
 
 
+def test_repeated_queries_are_asked_once(spark):
+    rng = np.random.default_rng(6)
+    ids, vectors = np.arange(60), rng.normal(size=(60, 5))
+    rows = frame(spark, ids, vectors)
+    twice = frame(spark, [20, 20, 40, 40], [vectors[20], vectors[20], vectors[40], vectors[40] + 1])
+    got = collected(nearest.nearest(rows.union(rows.where("vec_id = 20")), twice, k=7))
+    want = brute_force(ids, vectors, [20], 7)
+    assert [i for i, _ in got[20]] == [i for i, _ in want[20]]
+    first = min(vectors[40].tolist(), (vectors[40] + 1).tolist())
+    scores = {int(i): float(v @ first) for i, v in zip(ids, vectors, strict=True) if i != 40}
+    assert len(got[40]) == 7 and all(abs(scores[i] - s) < 1e-9 for i, s in got[40])
+
+
 def test_empty_tables(spark):
     df = frame(spark, [1, 2], [[1, 2], [2, 1]])
     assert nearest.nearest(df.where("false"), df).count() == 0
