@@ -82,11 +82,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         "conv_id",
         F.struct(
             F.col("turn").alias("turn"),
-            escaped(F.coalesce(F.col("role").cast("string"), F.lit(""))).alias("role"),
-            escaped(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
+            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    grouped = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # Sorted as they are said; escaping would change the order of ties.
+    safe = lambda t: F.struct(
+        t["turn"].alias("turn"), escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text")
+    )
+    ordered = F.sort_array(F.collect_list("t"))
+    grouped = clean.groupBy("conv_id").agg(ordered.alias("_said"))
+    grouped = grouped.select("conv_id", F.transform("_said", safe).alias("turns"))
     pieces = grouped.select("conv_id", _pieces(_blocks(F.col("turns"))).alias("pieces"))
     return pieces.select(
         "conv_id",

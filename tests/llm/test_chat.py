@@ -43,6 +43,7 @@ ROWS = [
     (3, None, None, None), (3, 0, "user", "\U0001f600 é"), (None, 0, "user", "x"), (None, 0, "user", "x"),
     (4, 7, "user", "tie b"), (4, 7, "user", "tie a"), (4, 7, "assistant", "tie"),
     (5, 0, "assistant", "long " * 100_000),
+    (6, 1, "user", "<|b"), (6, 1, "user", "<a"), (6, 1, "<|x", "1"), (6, 1, "<x", "2"),
 ]
 
 
