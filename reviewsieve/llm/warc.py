@@ -102,6 +102,12 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return out
 
 
+def _whole(block: bytes, size: int) -> bytes:
+    if len(block) < size:
+        raise ValueError(f"archive is cut off: a record of {size} bytes has {len(block)}")
+    return block
+
+
 class _Plain:
     """Records of an uncompressed file."""
 
@@ -124,7 +130,7 @@ class _Plain:
                 break
             self.held += more
         block, self.held = self.held[:size], self.held[size:].lstrip(b"\r\n")
-        return block
+        return _whole(block, size)
 
     def skip(self, size: int) -> None:
         if size > len(self.held):
@@ -174,7 +180,7 @@ class _Gzip:
             pass
         block = self.out[:size]
         self.skip(size)
-        return block
+        return _whole(block, size)
 
     def skip(self, size: int) -> None:
         if self.length is None:

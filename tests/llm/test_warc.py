@@ -119,3 +119,13 @@ def test_empty_and_repeated_pages(spark, tmp_path):
     warc.write_pages(spark.createDataFrame([(1, "u", "x")] * 3, SCHEMA), f"file://{tmp_path}/three")
     rows = warc.page_summary(warc.read_records(spark, f"file://{tmp_path}/three")).collect()
     assert [tuple(r)[:1] + tuple(r)[3:] for r in rows] == [(1, "response", None)] * 3
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_cut_off_archives_are_an_error(spark, tmp_path, compression):
+    record = warc.record_bytes({"WARC-Type": "resource", "Content-Type": "text/plain"}, os.urandom(1000))
+    data = gzip.compress(record) if compression == "gzip" else record
+    name = "a.warc.gz" if compression == "gzip" else "a.warc"
+    (tmp_path / name).write_bytes(data[: len(data) - 500])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_records(spark, f"file://{tmp_path}").select("payload").collect()
