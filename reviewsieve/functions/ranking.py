@@ -18,6 +18,8 @@ GROUP_LIMIT = 1000
 SPREAD = 64
 # Hex digits of a draw that name its bucket: 16^3 = 4096 even buckets per group.
 DRAW_DIGITS = 3
+# Bits of a bucket's number that are summed up together; see _before_in_levels.
+LEVEL_BITS = 16
 
 
 def _div(column: str, width: int) -> Column:
@@ -49,11 +51,37 @@ def _before(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
     )
 
 
+def _before_in_levels(df: DataFrame, sums: dict[str, Column], bits: int) -> DataFrame:
+    """``_before`` for whole-number buckets of up to ``bits`` bits, however many a group has.
+
+    Buckets are summed up to buckets of ``2^LEVEL_BITS`` numbers, these again, and so on; a bucket
+    is then preceded by the earlier ones in its own larger bucket and by what precedes that one.
+    So no window holds more than ``2^LEVEL_BITS`` rows.
+    """
+    totals = df.groupBy("_group", "_bucket").agg(*[c.alias(n) for n, c in sums.items()])
+    if bits <= LEVEL_BITS:
+        return _before(totals, {n: F.sum(n) for n in sums})
+    up = F.shiftright("_bucket", LEVEL_BITS)
+    upper = totals.select("_group", up.alias("_bucket"), *sums)
+    above = _before_in_levels(upper, {n: F.sum(n) for n in sums}, bits - LEVEL_BITS)
+    earlier = (
+        Window.partitionBy("_group", "_up").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    inside = totals.withColumn("_up", up).select(
+        "_group", "_bucket", "_up",
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_in_{n}") for n in sums],
+    )
+    joined = inside.join(above.withColumnRenamed("_bucket", "_up"), ["_group", "_up"])
+    return joined.select("_group", "_bucket", *[(F.col(n) + F.col(f"_in_{n}")).alias(n) for n in sums])
+
+
 def _rank_in_buckets(
-    df: DataFrame, keys: list[str], bucket: Column, order: list, name: str, k: int | None = None
-) -> DataFrame:
+    df: DataFrame, keys: list[str], bucket: Column, order: list, name: str,
+    k: int | None = None, bits: int = 0,
+) -> DataFrame:
     df = _bucketed(df, keys, bucket)
-    before = _before(df, {"_before": F.count(F.lit(1))})
+    count = {"_before": F.count(F.lit(1))}
+    before = _before_in_levels(df, count, bits) if bits else _before(df, count)
     if k is not None:
         before = before.where(F.col("_before") < k)
     inside = Window.partitionBy("_group", "_bucket").orderBy(*order)
@@ -85,9 +113,11 @@ def id_rank(
 ) -> DataFrame:
     """Rank 1.. per group by a whole-number id that is distinct within its group.
 
-    A bucket spans ``width`` ids, hence holds at most ``width`` rows.
+    A bucket spans ``width`` ids, hence holds at most ``width`` rows. Ids may be sparse, then there
+    are as many buckets as ids, so these are counted in levels.
     """
-    return _rank_in_buckets(df, keys, _div(id_col, width), [id_col], name)
+    bits = 64 - (width.bit_length() - 1)
+    return _rank_in_buckets(df, keys, _div(id_col, width), [id_col], name, bits=bits)
 
 
 def range_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "pos") -> DataFrame:

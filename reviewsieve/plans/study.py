@@ -20,7 +20,7 @@ def load_topics(
 
     ``rows``: the topics' CSV rows as read; of an article's versions the last one counts.
     ``pos`` is its place in the topic's seeded random order. With a ``folder`` the table is
-    kept there and read again by a later call with the same seed.
+    kept there, with the word vectors, and read again by a later call with the same seed and inputs.
     """
 
     def build() -> DataFrame:
@@ -33,7 +33,9 @@ def load_topics(
             "topic", "pmid", "label", "pos", "features"
         )
 
-    return build() if folder is None else kept_features(spark, folder, {"seed": seed}, build)
+    if folder is None:
+        return build()
+    return kept_features(spark, folder, {"seed": seed}, build, vectors, {"rows": rows}).features
 
 
 class Comparison(NamedTuple):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewsieve.functions.ranking import id_rank
+from reviewsieve.sources.xmlscan import read_records, scan_records  # noqa: F401
 
 # Record tags, default texts, and the limits of one fetch.
 ARTICLE_TAG = "PubmedArticle"
@@ -54,17 +55,6 @@ def read_responses(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("response"), F.col("value").alias("xml"))
 
 
-def scan_records(spark: SparkSession, paths: str | list[str], tag: str, schema: str) -> DataFrame:
-    """Typed scan of one record tag out of large XML files, split across tasks.
-
-    For bulk files without markup inside the texts; it keeps full element texts.
-    """
-    return (
-        spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE")
-        .schema(schema).load(paths)
-    )
-
-
 def _checked(responses: DataFrame) -> DataFrame:
     """Responses under one root element, without comments, and whether they are broken.
 

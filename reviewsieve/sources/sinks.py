@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,33 +42,85 @@ def write_combined(enriched: DataFrame, path: str, fmt: str = "parquet") -> None
     enriched.write.format(fmt).mode("error").save(path)
 
 
-def _load(spark: SparkSession, path: str) -> DataFrame | None:
+class Kept(NamedTuple):
+    """A kept feature table and the word vectors it was made with."""
+
+    features: DataFrame
+    vectorizer: DataFrame
+
+
+def fingerprint(df: DataFrame) -> str:
+    """What a table holds, whatever the order of its rows: their number and a hash of all of them.
+
+    Three sums of a row's hash, so that equal rows do not cancel out.
+    """
+    row = F.xxhash64(*df.columns)
+    parts = [F.shiftrightunsigned(row, at).bitwiseAND(F.lit((1 << 21) - 1)) for at in (0, 21, 42)]
+    sums = [F.coalesce(F.sum(p.cast("decimal(20,0)")), F.lit(0)).cast("string") for p in parts]
+    return df.agg(F.concat_ws("-", F.count(F.lit(1)).cast("string"), *sums).alias("f")).first().f
+
+
+def _manifest(spark: SparkSession, folder: str) -> dict | None:
     try:
-        return spark.read.parquet(path)
+        return json.loads(spark.read.text(f"{folder}/manifest").first().value)
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def kept_features(
-    spark: SparkSession, folder: str, params: dict, build: Callable[[], DataFrame]
-) -> DataFrame:
-    """The feature table under ``folder``: read if it was kept, else built and written.
+def _commit(spark: SparkSession, folder: str, attempt: str, manifest: dict) -> bool:
+    """Put the manifest in its place by one rename; False if another writer has been there."""
+    line = spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string")
+    line.coalesce(1).write.text(f"{attempt}/manifest")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(f"{attempt}/manifest"), hadoop.Path(f"{folder}/manifest")
+    conf = spark._jsc.hadoopConfiguration()
+    qualified = target.getFileSystem(conf).makeQualified(target)
+    none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    try:
+        hadoop.FileContext.getFileContext(qualified.toUri(), conf).rename(source, qualified, none)
+    except Py4JJavaError as problem:
+        if problem.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
 
-    Features and the vectoriser's parameters are kept side by side; one without the other,
-    or parameters other than the asked ones, is an error.
-    """
-    features, settings = f"{folder}/features", f"{folder}/vectorizer"
-    wanted = json.dumps(params, sort_keys=True)
-    have, kept = _load(spark, features), _load(spark, settings)
-    if (have is None) != (kept is None):
-        raise ValueError(f"features and vectorizer must be present together in {folder}")
-    if have is None:
-        build().write.mode("error").parquet(features)
-        spark.range(1).select(F.lit(wanted).alias("params")).coalesce(1).write.parquet(settings)
-        return spark.read.parquet(features)
-    found = kept.first().params
+
+def _read(spark: SparkSession, folder: str, manifest: dict, wanted: dict) -> Kept:
+    found = {k: manifest[k] for k in ("params", "inputs")}
     if found != wanted:
         raise ValueError(f"features in {folder} were built with {found}, not with {wanted}")
-    return have
+    data = f"{folder}/{manifest['data']}"
+    return Kept(spark.read.parquet(f"{data}/features"), spark.read.parquet(f"{data}/vectorizer"))
+
+
+def kept_features(
+    spark: SparkSession,
+    folder: str,
+    params: dict,
+    build: Callable[[], DataFrame],
+    vectorizer: DataFrame,
+    inputs: dict[str, DataFrame] | None = None,
+) -> Kept:
+    """The feature table under ``folder`` with its vectoriser: read if kept, else built and kept.
+
+    Every writer writes both tables to a folder of its own and then renames a manifest into place,
+    which names that folder, the parameters and the fingerprints of the inputs. Before the rename
+    nothing is kept, after it all is: a writer that fails leaves only files that nobody reads, and of
+    two writers the first one's tables count for both. Parameters or inputs other than the kept ones
+    are an error. The store's rename must fail where its target exists, as Hadoop's does.
+    """
+    prints = {name: fingerprint(df) for name, df in ({"vectorizer": vectorizer} | (inputs or {})).items()}
+    wanted = {"params": json.loads(json.dumps(params)), "inputs": prints}
+    manifest = _manifest(spark, folder)
+    if manifest is None:
+        name = f"data-{uuid.uuid4().hex}"
+        attempt = f"{folder}/{name}"
+        build().write.parquet(f"{attempt}/features")
+        vectorizer.write.parquet(f"{attempt}/vectorizer")
+        if _commit(spark, folder, attempt, wanted | {"data": name}):
+            manifest = wanted | {"data": name}
+        else:
+            manifest = _manifest(spark, folder)
+    return _read(spark, folder, manifest, wanted)

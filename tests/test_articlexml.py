@@ -92,7 +92,7 @@ def test_files_requested_and_display(spark, tmp_path):
     )
 
 
-def test_bulk_scan_splits_one_tag(spark, tmp_path):
+def test_bulk_scan_of_one_tag(spark, tmp_path):
     (tmp_path / "a.xml").write_text(ARTICLES.replace('<PMID Version="1">', "<PMID>"))
     schema = "MedlineCitation struct<PMID: string>"
     rows = ax.scan_records(spark, str(tmp_path), "PubmedArticle", schema)

@@ -112,3 +112,17 @@ def test_null_groups_keep_sums_and_previous_rows(spark):
     assert prev == {i: (i - 1) ** 2 if i else None for i in range(10)}
     ids = {r.step: r.pos for r in ranking.id_rank(df, ["topic"], "step", width=4).collect()}
     assert ids == {i: i + 1 for i in range(10)}
+
+
+def test_sparse_ids_are_ranked_in_levels(spark, monkeypatch):
+    """Random 64-bit ids, hence a bucket for each; no window holds more than a level's buckets."""
+    import numpy as np
+
+    monkeypatch.setattr(ranking, "LEVEL_BITS", 6)
+    rng = np.random.default_rng(8)
+    ids = np.unique(rng.integers(-(2**63), 2**63 - 1, 3000)).tolist() + [-(2**63), 2**63 - 1, 0, -1]
+    rows = [(t, i) for t in ("a", None) for i in ids]
+    df = spark.createDataFrame(rows, "topic string, pmid long").repartition(7)
+    got = {(r.topic, r.pmid): r.pos for r in ranking.id_rank(df, ["topic"], "pmid", 1024).collect()}
+    want = {i: n for n, i in enumerate(sorted(ids), start=1)}
+    assert got == {(t, i): want[i] for t, i in rows}

@@ -66,3 +66,22 @@ def test_given_pool(spark):
     assert [(r.pmid, r.label) for r in got] == [(9, 1), (4, 0)]
     with pytest.raises(ValueError, match="777"):
         seeds.given_pool(df, pool.withColumn("pmid", F.lit(777).cast("long")))
+
+
+@pytest.mark.parametrize("looked_at", [(4, 24), (1, 0)])
+def test_low_draws_hold_the_first_of_every_class_and_attempt(spark, monkeypatch, looked_at):
+    """With a limit that is met, and with one so low that many classes are drawn again."""
+    monkeypatch.setattr(seeds, "LOOKED_AT", looked_at[0])
+    monkeypatch.setattr(seeds, "AT_LEAST", looked_at[1])
+    rows = [(t, i, int(i % 7 == 0) if i % 50 else None) for t in ("A", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "topic string, pmid long, label int")
+    low = seeds._low_draws(df, 3, 9, 4, 1).collect()
+    assert len({(r.topic, r.attempt, r.pmid) for r in low}) == len(low) < 0.6 * 7 * len(rows)
+    cls = lambda label: label if label in (0, 1) else 2
+    for topic in ("A", None):
+        for attempt in range(3, 10):
+            for c in (0, 1, 2):
+                own = [i for t, i, label in rows if t == topic and cls(label) == c]
+                want = sorted(own, key=lambda i: (digest(1, attempt, i), i))[:4]
+                got = {r.pmid for r in low if (r.topic, r.attempt, cls(r.label)) == (topic, attempt, c)}
+                assert set(want) <= got

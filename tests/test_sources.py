@@ -77,24 +77,73 @@ def test_sinks_by_topic_and_combined(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "all")).count() == 3
 
 
-def test_kept_features(spark, tmp_path):
+@pytest.fixture
+def keeper(spark, tmp_path):
+    """Calls of kept_features on one folder, with a list of what was built."""
     built = []
 
-    def build():
-        built.append(1)
-        return spark.range(3)
-
-    folder = str(tmp_path / "kept")
-    params = {"vectors": "v1", "width": 4}
-    assert sinks.kept_features(spark, folder, params, build).count() == 3
-    assert sinks.kept_features(spark, folder, params, build).count() == 3
-    assert len(built) == 1
-    with pytest.raises(ValueError, match="were built with"):
-        sinks.kept_features(spark, folder, {"vectors": "v2"}, build)
-    lone = str(tmp_path / "lone")
-    spark.range(3).write.parquet(f"{lone}/features")
-    with pytest.raises(ValueError, match="together"):
-        sinks.kept_features(spark, lone, params, build)
+    def keep(folder="kept", params=None, vectors=2, fail=False):
+        def build():
+            built.append(1)
+            if fail:
+                return spark.range(3).select(F.raise_error(F.lit("lost")).alias("id"))
+            return spark.range(3)
+
+        words = spark.range(vectors).withColumn("word", F.lit("w"))
+        inputs = {"rows": spark.range(5)}
+        return sinks.kept_features(spark, str(tmp_path / folder), params or {"width": 4}, build, words, inputs)
+
+    keep.built = built
+    return keep
+
+
+def test_kept_features(keeper):
+    first, again = keeper(), keeper()
+    assert len(keeper.built) == 1
+    assert first.features.count() == again.features.count() == 3 and again.vectorizer.count() == 2
+    for other in ({"params": {"width": 5}}, {"vectors": 3}):
+        with pytest.raises(ValueError, match="were built with"):
+            keeper(**other)
+
+
+@pytest.mark.parametrize("step", ["features", "vectorizer", "manifest"])
+def test_a_writer_lost_on_its_way_keeps_nothing(spark, keeper, monkeypatch, tmp_path, step):
+    if step == "features":
+        with pytest.raises(Exception, match="lost"):
+            keeper(fail=True)
+    else:
+        def lost(*args):
+            raise RuntimeError("lost")
+
+        with monkeypatch.context() as patch:
+            patch.setattr(sinks, "_commit", lost)
+            if step == "vectorizer":
+                patch.setattr(sinks.uuid, "uuid4", lost)
+            with pytest.raises(RuntimeError, match="lost"):
+                keeper()
+    assert not (tmp_path / "kept" / "manifest").exists()
+    assert keeper().features.count() == 3 and keeper().vectorizer.count() == 2
+
+
+def test_of_two_writers_the_first_counts(spark, keeper, monkeypatch):
+    commit = sinks._commit
+
+    def late(*args):
+        monkeypatch.setattr(sinks, "_commit", commit)
+        keeper()
+        return commit(*args)
+
+    monkeypatch.setattr(sinks, "_commit", late)
+    kept = keeper()
+    assert len(keeper.built) == 2 and kept.features.count() == 3
+    assert kept.features.inputFiles() == keeper().features.inputFiles() and len(keeper.built) == 2
+
+
+def test_fingerprints(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "n int, s string")
+    assert sinks.fingerprint(df) == sinks.fingerprint(df.repartition(3))
+    others = [df.distinct(), df.where("n = 1"), df.withColumn("s", F.lit("b")), df.limit(0)]
+    assert len({sinks.fingerprint(d) for d in [df, *others]}) == 5
 
 
 def test_word_vectors_as_text_and_parquet(spark, tmp_path):
