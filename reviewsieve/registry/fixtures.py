@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from reviewsieve.functions.ranking import draw_rank
 from reviewsieve.functions.text import after_first_line, explode_article_words, first_line
 from reviewsieve.operators.policies import POLICIES
 from reviewsieve.operators.pool import RUN, candidates, pool, run_state
-from reviewsieve.session import cut_lineage, spread_small
+from reviewsieve.session import checkpoint_folder, cut_lineage, spread_small
 
 STUDY_POLICIES = ("uncertainty", "certainty", "random", "alternating")
 RUNS = 3
@@ -25,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def landing(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files that a query writes and reads again."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Documents for work on their texts, over all cores even if they are in one file."""
     return spread_small(table(spark, sf_dir, "documents").select(*columns), "doc_id")

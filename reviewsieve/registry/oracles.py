@@ -170,6 +170,23 @@ pick{step} AS (
         FROM gaps{step}) WHERE n = 1)"""
 
 
+# Ten seeds for every policy, and the fifty articles that all of them may choose from first.
+_FIRST_ROUND = f"""
+classed AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY draw, pmid) AS n
+  FROM (SELECT *, md5(concat_ws('|', 0, pmid)) AS draw FROM judged)),
+seeds AS MATERIALIZED (
+  SELECT topic, pmid, label FROM classed
+  QUALIFY row_number() OVER (ORDER BY CASE WHEN n = 1 THEN label ELSE 2 END, draw, pmid) <= 10),
+chosen_by AS (SELECT unnest([{", ".join(f"'{p}'" for p in POLICIES)}]) AS policy),
+log AS MATERIALIZED (SELECT topic, policy, CAST(0 AS INTEGER) AS run, pmid, label FROM seeds, chosen_by),
+here AS MATERIALIZED (
+  SELECT topic, policy, CAST(0 AS INTEGER) AS run, CAST(1 AS INTEGER) AS round, pmid, label, draw
+  FROM (SELECT topic, pmid, label, md5(concat_ws('|', 0, 1, pmid)) AS draw FROM judged
+        WHERE pmid NOT IN (SELECT pmid FROM seeds)
+        QUALIFY row_number() OVER (ORDER BY draw, pmid) <= 50), chosen_by)"""
+
+
 def _farthest_step(step: int) -> str:
     """The five rows farthest from all that is labelled before this round."""
     earlier = "".join(f" UNION ALL SELECT pmid FROM far{i}" for i in range(1, step))
@@ -222,7 +239,7 @@ _GAP = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) ** 2
 _CHANCE = "CAST('0x' || substr(md5(concat_ws('|', 0, {0}, h.draw)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
 
 
-def _seeding(i: int) -> str:
+def _seeding(i: int, k: int) -> str:
     return f""",
 near{i} AS MATERIALIZED (
   SELECT h.run, h.pmid, h.draw, h.v, {_CHANCE.format(i)} AS chance, min({_GAP.format("h.v", "s.v")}) AS gap
@@ -230,18 +247,20 @@ near{i} AS MATERIALIZED (
 seeds{i + 1} AS MATERIALIZED (
   SELECT * FROM seeds{i} UNION ALL
   SELECT run, pmid, draw, v FROM (SELECT *, sum(gap) OVER (PARTITION BY run) AS total FROM near{i})
-  WHERE chance * total < 2 * 25 * gap)"""
+  WHERE chance * total < 2 * {k} * gap)"""
 
 
-_CLUSTERS = """,
+def _clusters(k: int, source: str = "here") -> str:
+    """Seeds, their reduction to k, ten steps, and the rows of ``source`` with their cluster."""
+    return f""",
 points AS MATERIALIZED (
-  SELECT h.*, v FROM here h
+  SELECT h.*, v FROM {source} h
   JOIN (SELECT vec_id AS pmid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) USING (pmid)),
 seeds0 AS MATERIALIZED (
   SELECT run, pmid, draw, v FROM points
   QUALIFY row_number() OVER (PARTITION BY run ORDER BY draw, pmid) = 1)""" + "".join(
-    _seeding(i) for i in range(3)
-) + f""",
+        _seeding(i, k) for i in range(3)
+    ) + f""",
 numbered AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY run ORDER BY draw, pmid) AS i FROM seeds3),
 weighed AS (
@@ -262,9 +281,9 @@ chosen AS (
   FROM (
     SELECT *, list_position(score, list_max(score)) AS best
     FROM (SELECT f.*, s, list_transform(range(1, len(s) + 1), lambda j: w[j] * gap[j]) AS score
-          FROM chosen f JOIN offered USING (run) WHERE n < 25 AND len(s) > 25))),
+          FROM chosen f JOIN offered USING (run) WHERE n < {k} AND len(s) > {k}))),
 first AS MATERIALIZED (
-  SELECT run, CASE WHEN len(s) <= 25 THEN s ELSE list_transform(c, lambda j: s[j]) END AS m
+  SELECT run, CASE WHEN len(s) <= {k} THEN s ELSE list_transform(c, lambda j: s[j]) END AS m
   FROM offered JOIN chosen USING (run) QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC) = 1),
 rows_of AS MATERIALIZED (SELECT run, list(v ORDER BY pmid) AS x FROM points GROUP BY run),
 steps AS (
@@ -393,6 +412,8 @@ SELECT DISTINCT cd FROM lines WHERE label IS NOT NULL""",
 SELECT topic, CAST(pmid AS VARCHAR) AS pmid, arg_max(toxic, seq) AS label, min(seq) AS first_seq,
        arg_max(title, seq) AS title, md5(arg_max(abstract, seq)) AS abstract_md5
 FROM versions GROUP BY topic, pmid""",
+    "topic_files": _with(VERSIONS) + """
+SELECT topic, CAST(pmid AS VARCHAR) AS pmid, toxic AS label, md5(title) AS title_md5 FROM base""",
     "topic_counts": _with(JUDGED) + """
 SELECT topic, count(*) AS n_all, count(*) FILTER (WHERE label = 1) AS n_included,
        count(*) FILTER (WHERE label = 0) AS n_excluded
@@ -406,6 +427,8 @@ SELECT source_set, cd, CAST(pmid AS VARCHAR) AS pmid FROM lines
 WHERE label IS NOT NULL AND pmid NOT IN (SELECT pmid FROM records)""",
     "xml_records": _with(XML) + """
 SELECT response, is_book, pmid, title, book_title, md5(abstract) AS abstract_md5 FROM xml_rows""",
+    "xml_bulk_scan": _with(XML) + """
+SELECT is_book, pmid, source FROM xml_rows""",
     "xml_full_text": _with(XML) + r"""
 SELECT pmid, trim(regexp_replace(raw_title || 'more text', '[ \t\n\x{0B}\f\r]+', ' ', 'g'))
        AS title,
@@ -577,7 +600,7 @@ batch AS (
   WHERE n <= 50)"""
     + "".join(_min_variance_step(i, "batch") for i in (1, 2, 3)) + """
 SELECT * FROM pick1 UNION ALL SELECT * FROM pick2 UNION ALL SELECT * FROM pick3""",
-    "pick_clustering": _with(ITEMS, _pool(("clustering",)), recursive=True) + _CLUSTERS + f"""
+    "pick_clustering": _with(ITEMS, _pool(("clustering",)), recursive=True) + _clusters(25) + f"""
 SELECT {RUN}, round, CAST(row_number() OVER (PARTITION BY {RUN} ORDER BY cluster) AS INTEGER)
        AS rank_in_round, pmid
 FROM (SELECT * FROM grouped
@@ -600,6 +623,37 @@ axes AS (
   FROM turned)
 SELECT topic, pmid, round(first * (a * c + b * s), 4) AS x, round(second * (b * c - a * s), 4) AS y
 FROM points JOIN axes USING (topic)""",
+    "acquire_round": _with(ITEMS, _FIRST_ROUND, recursive=True) + _FIT
+    + _clusters(10, "(SELECT * FROM here WHERE policy = 'clustering')")
+    + ", mv AS (SELECT * FROM here WHERE policy = 'minimum_variance')"
+    + "".join(_min_variance_step(i, "mv") for i in range(1, 11)) + f""",
+scored AS (
+  SELECT h.*, abs(2 / (1 + exp(-list_dot_product(v, w))) - 1) AS margin,
+         policy IN ('uncertainty', 'alternating') AS largest
+  FROM here h JOIN fitted USING ({RUN}) JOIN vectors USING (pmid)
+  WHERE policy IN ('uncertainty', 'certainty', 'alternating', 'adaptive_certainty_uncertainty')),
+far AS (
+  SELECT h.*, (SELECT min(list_distance(a.v, b.v)) FROM seeds JOIN vectors b USING (pmid)) AS gap
+  FROM here h JOIN vectors a USING (pmid) WHERE policy = 'diversity'),
+picks AS (
+  SELECT policy, pmid, row_number() OVER (PARTITION BY policy ORDER BY margin, draw, pmid) AS place
+  FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY policy
+          ORDER BY CASE WHEN largest THEN -margin ELSE margin END, draw, pmid) <= 10)
+  UNION ALL
+  SELECT policy, pmid, row_number() OVER (ORDER BY draw, pmid) FROM here WHERE policy = 'random'
+  QUALIFY row_number() OVER (ORDER BY draw, pmid) <= 10
+  UNION ALL
+  SELECT policy, pmid, row_number() OVER (ORDER BY gap, draw, pmid)
+  FROM (SELECT * FROM far QUALIFY row_number() OVER (ORDER BY gap DESC, draw, pmid) <= 10)
+  UNION ALL
+  SELECT policy, pmid, row_number() OVER (ORDER BY cluster)
+  FROM (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY draw, pmid) = 1)
+  UNION ALL
+  SELECT policy, pmid, rank_in_round
+  FROM ({" UNION ALL ".join(f"SELECT * FROM pick{i}" for i in range(1, 11))}))
+SELECT j.topic, policy, CAST(0 AS INTEGER) AS run, CAST(1 AS INTEGER) AS round,
+       CAST(place AS INTEGER) AS rank_in_round, pmid, j.label
+FROM picks JOIN judged j USING (pmid)""",
     "diversity_rounds": _with(ITEMS) + """,
 vectors AS MATERIALIZED (SELECT vec_id AS pmid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 classed AS (
@@ -697,3 +751,5 @@ SELECT topic, policy, grid, runs, round(m, 4) AS mean,
        round(m - t.v * sem, 4) AS low, round(m + t.v * sem, 4) AS high
 FROM stats LEFT JOIN (VALUES {_T}) AS t(df, v) ON t.df = runs - 1""",
 }
+# Batch by batch or all at once, the last record counts.
+ORACLES["enrich_batches"] = ORACLES["enrich"]

@@ -16,7 +16,7 @@ from reviewsieve.plans.acquire import acquire_round, next_round, start_log
 from reviewsieve.plans.study import compare_policies, load_topics
 from reviewsieve.registry import fixtures as fx
 from reviewsieve.session import cut_lineage
-from reviewsieve.sources import articlexml, qrels, topics, wordvectors
+from reviewsieve.sources import articlexml, qrels, sinks, topics, wordvectors
 
 PICKS = [*ROUND, "rank_in_round", "pmid"]
 
@@ -53,6 +53,16 @@ def topic_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def topic_files(spark: SparkSession, d: str) -> DataFrame:
+    """Topics written as CSV, a folder each, and read back from there."""
+    rows = _topic_rows(spark, d).where(F.col("seq") == F.col("PMID").cast("bigint")).drop("seq")
+    folder = fx.landing(spark, "topics")
+    sinks.write_by_topic(rows, folder, ["CD"])
+    return topics.topic_articles(topics.read_topic_csv(spark, folder)).select(
+        "topic", "pmid", "label", F.md5("title").alias("title_md5")
+    )
+
+
 def topic_counts(spark: SparkSession, d: str) -> DataFrame:
     return pool.topic_counts(fx.judged(spark, d))
 
@@ -65,6 +75,19 @@ def enrich(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def enrich_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Judgements enriched with first versions, kept, and then given the later ones."""
+    records = fx.records(spark, d)
+    later = F.col("seq") > F.col("pmid").cast("bigint")
+    kept = cut_lineage(
+        enrichment.enrich_judgements(qrels_scan(spark, d), records.where(~later), keep_seq=True)
+    )
+    return enrichment.with_later_records(kept, records.where(later)).select(
+        "source_set", "cd", "misc", "pmid", "label", "title",
+        F.md5("abstract").alias("abstract_md5"),
+    )
+
+
 def unmatched(spark: SparkSession, d: str) -> DataFrame:
     enriched = enrichment.enrich_judgements(qrels_scan(spark, d), fx.records(spark, d))
     return enrichment.without_record(enriched).select("source_set", "cd", "pmid")
@@ -82,6 +105,23 @@ def xml_records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def xml_bulk_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Responses landed as large files and scanned by byte ranges, one tag at a time."""
+    folder = fx.landing(spark, "responses")
+    fx.responses(spark, d).select("xml").write.text(folder)
+    article = "struct<PMID: string, Article: struct<Journal: struct<Title: string>>>"
+    articles = articlexml.scan_records(
+        spark, folder, articlexml.ARTICLE_TAG, f"MedlineCitation {article}"
+    ).select("MedlineCitation.PMID", F.col("MedlineCitation.Article.Journal.Title").alias("said"))
+    books = articlexml.scan_records(
+        spark, folder, articlexml.BOOK_TAG, "BookDocument struct<PMID: string, BookTitle: string>"
+    ).select("BookDocument.PMID", F.col("BookDocument.BookTitle").alias("said"))
+    both = articles.withColumn("is_book", F.lit(False)).unionByName(
+        books.withColumn("is_book", F.lit(True))
+    )
+    return both.select("is_book", F.col("PMID").alias("pmid"), F.col("said").alias("source"))
+
+
 def xml_full_text(spark: SparkSession, d: str) -> DataFrame:
     return _xml_columns(spark, d, "full").select(
         "pmid", "title", F.md5("abstract").alias("abstract_md5")
@@ -407,10 +447,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qrels_rejects": qrels_rejects,
     "topics": topic_list,
     "topic_scan": topic_scan,
+    "topic_files": topic_files,
     "topic_counts": topic_counts,
     "enrich": enrich,
+    "enrich_batches": enrich_batches,
     "enrich_unmatched": unmatched,
     "xml_records": xml_records,
+    "xml_bulk_scan": xml_bulk_scan,
     "xml_full_text": xml_full_text,
     "xml_citations": xml_citations,
     "xml_attributes": xml_attributes,

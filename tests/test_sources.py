@@ -2,7 +2,9 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from reviewsieve.operators.enrichment import enrich_judgements, without_record
+from reviewsieve.operators import enrichment
+from reviewsieve.operators.enrichment import enrich_judgements, with_later_records, without_record
+from reviewsieve.session import cut_lineage
 from reviewsieve.sources import qrels, sinks, topics, wordvectors
 
 
@@ -61,6 +63,28 @@ def test_enrichment_last_record_wins_everywhere(spark, hot_rows):
     assert without_record(out).count() == 3
 
 
+@pytest.mark.parametrize("limit", [50_000, 1])
+def test_later_batches_equal_the_whole_join(spark, monkeypatch, capsys, limit):
+    monkeypatch.setattr(enrichment, "BATCH_RECORDS", limit)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    judged = spark.createDataFrame([(f"T{i % 3}", 0, i % 40, i % 2) for i in range(100)], "cd string, misc int, pmid long, label int")
+    rows = [(str(i % 50), f"t{i}" if i % 7 else None, f"a{i}", (i * 37) % 101) for i in range(90)]
+    records = spark.createDataFrame(rows, "pmid string, title string, abstract string, seq long").where("seq <> 5")
+    try:
+        now = enrich_judgements(judged, records.where("seq % 3 = 0"), keep_seq=True)
+        for part in ("seq % 3 = 1", "seq % 3 = 2", "false", "seq < 20"):
+            before = cut_lineage(now)
+            now = with_later_records(before, records.where(part))
+            if limit > 1:
+                now.explain()
+                assert "Exchange hashpartitioning" not in capsys.readouterr().out
+        key = lambda r: str(tuple(r))
+        whole = enrich_judgements(judged, records, keep_seq=True)
+        assert sorted(now.collect(), key=key) == sorted(whole.collect(), key=key)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_sinks_by_topic_and_combined(spark, tmp_path):
     rows = spark.createDataFrame(
         [("s1", "A", "1", "x, y"), ("s1", "B", "2", 'q "z"\nw'), ("s2", "A", "3", None)],
