@@ -1,6 +1,10 @@
 """Language models: distributions, held-out accuracy, rejection and unusual rows."""
 
+import math
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reviewsieve.llm import langid, wordhash
@@ -95,3 +99,66 @@ def test_language_whose_texts_all_fall_to_calibration(spark):
     assert np.isfinite(model.value.limit[0]) and np.isinf(model.value.limit[1])
     got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid.identify(docs, model).collect()}
     assert got[late] == ("pl", False)
+
+
+def plain_stream(text, pad):
+    """Letters in lower case, other signs one blank between them, blanks around."""
+    runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    return " " * pad + "".join(run + " " for run in runs) if runs else " " * pad + " "
+
+
+class PlainKneserNey:
+    """Interpolated Kneser-Ney by its definition, over dictionaries, for one language."""
+
+    def __init__(self, counts, order, alphabet):
+        self.levels = [Counter(counts)]
+        for _ in range(order - 1):
+            self.levels.insert(0, Counter(g[1:] for g in self.levels[0]))
+        self.alphabet = alphabet
+        self.discount = []
+        for level in self.levels:
+            one, two = (sum(c == n for c in level.values()) for n in (1, 2))
+            self.discount.append(min(0.9, max(0.1, one / max(one + 2 * two, 1))))
+
+    def probability(self, gram):
+        if not gram:
+            return 1 / (self.alphabet + 1)
+        level, d = self.levels[len(gram) - 1], self.discount[len(gram) - 1]
+        same = {g: c for g, c in level.items() if g[:-1] == gram[:-1]}
+        total = sum(same.values())
+        below = self.probability(gram[1:])
+        if not total:
+            return below
+        return max(level.get(gram, 0) - d, 0) / total + d * len(same) / total * below
+
+    def cross_entropy(self, text, order):
+        s = plain_stream(text, order - 1)
+        logs = [math.log(self.probability(s[i - order + 1 : i + 1])) for i in range(order - 1, len(s))]
+        return -sum(logs) / len(logs)
+
+
+LEARNED = {
+    "aa": ["the cat sat on the mat", "a cat; the Cat!!", "mat 12 mat", "that is the hat", ""],
+    "bb": ["der hut ist gut", "Übermut tut selten gut", "das ist das", "hut", "ßß 3"],
+    "cc": ["el gato es el gato", "ñandú", "la la la la"],
+}
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_models_equal_plain_kneser_ney(order):
+    counts = {
+        lang: Counter(
+            s[i : i + order]
+            for s in (plain_stream(t, order - 1) for t in texts)
+            for i in range(len(s) - order + 1)
+        )
+        for lang, texts in LEARNED.items()
+    }
+    alphabet = len({g[-1] for by in counts.values() for g in by})
+    model = langid.build({k: dict(v) for k, v in counts.items()}, order)
+    plain = {lang: PlainKneserNey(by, order, alphabet) for lang, by in counts.items()}
+    texts = ["the hat", "gut, das ist der Hut", "xyz qqq", "", "!!!", "ñandú el mat über", "a" * 50, *LEARNED["cc"]]
+    found, _ = langid.cross_entropies(model, texts)
+    for text, row in zip(texts, found, strict=True):
+        want = [plain[lang].cross_entropy(text, order) for lang in model.languages]
+        assert row == pytest.approx(want, abs=2e-5), text
