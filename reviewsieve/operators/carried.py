@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from reviewsieve.functions.vectors import distance
 from reviewsieve.operators.blocks import with_groups
 from reviewsieve.operators.pool import ROUND, RUN
-from reviewsieve.session import cut_lineage, fresh
+from reviewsieve.session import broadcast_if_small, cut_lineage, fresh
 
 CANDIDATE_BLOCK = 4096
 LABELLED_BLOCK = 1024
@@ -54,7 +54,6 @@ def _lower(known: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
     if not new.empty:
         x = np.stack(known["features"].to_numpy())
         around, upto = known["pivot_dist"].to_numpy(), known["upto"].to_numpy()
-        # Near ones first: they leave the least to measure.
         for y, far, since in new[["features", "pivot_dist", "round"]].itertuples(index=False):
             slack = ROUNDING * (around + far)
             may = np.flatnonzero((np.abs(around - far) < best + slack) & (upto < since))
@@ -74,16 +73,16 @@ def carried_distances(
     """``(distances, state)`` of a round.
 
     ``candidates``: ``topic, policy, run, round, pmid, draw, features``; ``labelled``: ``topic,
-    policy, run, round, rank_in_round, pmid, features``, all of them; ``state``: what the round
-    before returned (``STATE`` columns), or None. ``distances`` is ``topic, policy, run, round,
+    policy, run, round, rank_in_round, pmid, features``, all of them, a written table; ``state``:
+    what the round before returned (``STATE`` columns), or None. ``distances`` is ``topic, policy, run, round,
     pmid, draw, min_dist`` of the candidates whose run has labelled articles. The new state
     replaces the old one: candidates up to the last labelled round, other articles as they were;
     articles that have been labelled since drop out.
     """
     state = empty_state(candidates) if state is None else state
-    labelled = cut_lineage(labelled.select(*RUN, "round", "rank_in_round", "pmid", "features"))
-    width = F.max(F.size("features")).alias("w")
-    size = 8 * ((labelled.agg(width).first() or {"w": 0})["w"] or 0)
+    labelled = labelled.select(*RUN, "round", "rank_in_round", "pmid", "features")
+    width = labelled.select(F.size("features").alias("w")).first()
+    size = 8 * (width["w"] if width else 0)
     pivots = cut_lineage(_pivots(labelled))
     ends = labelled.groupBy(*RUN).agg(F.max("round").cast("int").alias("last"))
 
@@ -153,6 +152,7 @@ def carried_distances(
     measured = cut_lineage(with_groups(merged, ends, RUN, 16))
     done = measured.select(*RUN, "pmid", "min_dist", "pivot_dist", F.col("last").alias("upto"))
     others = state.join(fresh(done.select(*RUN, "pmid")), [*RUN, "pmid"], "left_anti")
-    others = others.join(fresh(labelled.select(*RUN, "pmid")), [*RUN, "pmid"], "left_anti")
+    revealed = broadcast_if_small(fresh(labelled.select(*RUN, "pmid")))
+    others = others.join(revealed, [*RUN, "pmid"], "left_anti")
     after = cut_lineage(others.select(*STATE).unionByName(done))
     return measured.select(*ROUND, "pmid", "draw", "min_dist"), after

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewsieve.operators import models, policies, pool
 from reviewsieve.operators.carried import carried_distances
+from reviewsieve.operators.distances import min_distances
 from reviewsieve.operators.pool import ROUND, RUN
 from reviewsieve.operators.variance import pick_min_variance
 from reviewsieve.session import broadcast_if_small, cut_lineage
@@ -37,7 +38,7 @@ class Round(NamedTuple):
 
 def acquire_round(features: DataFrame, judged: DataFrame, log: DataFrame, *args, **options) -> DataFrame:
     """The picks of ``next_round``, for callers that carry nothing from round to round."""
-    return next_round(features, judged, log, *args, **options).picks
+    return next_round(features, judged, log, *args, carry=False, **options).picks
 
 
 def next_round(
@@ -50,6 +51,7 @@ def next_round(
     threshold: float = policies.ADAPTIVE_THRESHOLD,
     estimator=None,
     distances: DataFrame | None = None,
+    carry: bool = True,
 ) -> Round:
     """The next round's rows of every run in ``log`` that is not done.
 
@@ -58,7 +60,8 @@ def next_round(
     the pool; runs that cannot be fitted get no rows (``models.rejected_runs`` lists them).
     ``distances`` is what the round before returned; with it the diversity policy measures its
     candidates only against the articles labelled since, without it against all of them. The
-    result is the same. Models are fitted for score policies only.
+    picks are the same. ``carry`` False returns no distances and spares keeping them. Models are
+    fitted for score policies only.
     """
     states = cut_lineage(pool.run_state(log, judged).where(~F.col("done")))
     names = [row.policy for row in states.select("policy").distinct().collect()]
@@ -92,7 +95,10 @@ def next_round(
     if given := only("random"):
         picks.append(policies.pick_random(given[0], reveal_size))
     if given := only("diversity"):
-        measured, distances = carried_distances(*given, distances)
+        if carry:
+            measured, distances = carried_distances(*given, distances)
+        else:
+            measured = min_distances(*given)
         picks.append(policies.pick_farthest(measured, reveal_size))
     if given := only("clustering"):
         picks.append(policies.pick_per_cluster(models.cluster(given[0], reveal_size, seed)))
