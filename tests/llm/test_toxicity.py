@@ -1,6 +1,9 @@
 """The classifier: its fit, its held-out quality, and unusual rows."""
 
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reviewsieve.llm import toxicity
@@ -73,3 +76,46 @@ def test_no_labels_and_one_kind(spark):
     model = toxicity.train(docs, labels.where("toxic = 0"))
     assert toxicity.score(docs, model).where("predicted = 1").count() == 0
     assert toxicity.score(docs.where("false"), model).count() == 0
+
+
+def plain_grams(text):
+    runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    s = " " + "".join(run + " " for run in runs) if runs else "  "
+    return {s[i : i + n] for n in toxicity.SIZES for i in range(len(s) - n + 1)}
+
+
+def plain_scores(learned, asked):
+    """Log-count ratios by their definition, then Newton steps on the whole dense matrix."""
+    held = [(plain_grams(text), label) for text, label in learned]
+    sides = [sum(label == side for _, label in held) for side in (0, 1)]
+    grams = sorted(set().union(*(g for g, _ in held)))
+    count = {g: [sum(g in own and label == side for own, label in held) for side in (0, 1)] for g in grams}
+    ratio = np.array([
+        math.log((count[g][1] + 1) / (sides[1] + 2)) - math.log((count[g][0] + 1) / (sides[0] + 2)) for g in grams
+    ])
+    matrix = lambda texts: np.array([[g in own for g in grams] for own in map(plain_grams, texts)]) * ratio
+    x = np.c_[matrix([t for t, _ in learned]), np.ones(len(learned))]
+    y = np.array([label for _, label in learned], float)
+    ridge = np.diag([toxicity.PENALTY] * len(grams) + [1e-6])
+    w = np.zeros(len(grams) + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
+    return 1 / (1 + np.exp(-np.c_[matrix(asked), np.ones(len(asked))] @ w))
+
+
+def test_scores_equal_plain_log_count_ratios(spark):
+    rng = np.random.default_rng(2)
+    plain, bad = "sun moon tree lake bird".split(), "vile scum rot".split()
+    learned = []
+    for i in range(24):
+        label = int(i % 3 == 0)
+        words = rng.choice(plain, 4).tolist() + rng.choice(bad if label else plain, 2).tolist()
+        learned.append((" ".join(words) + "!" * (i % 2), label))
+    asked = ["vile bird", "sun, moon", "", "SCUM scum", "lake rot tree", "other words", *[t for t, _ in learned[:4]]]
+    rows = [(i, text) for i, (text, _) in enumerate(learned)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(learned)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    found = toxicity.probabilities(model.value, asked)
+    assert found == pytest.approx(plain_scores(learned, asked), abs=5e-3)
