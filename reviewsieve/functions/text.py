@@ -27,6 +27,15 @@ def word_runs(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), F.lit(1))
 
 
+def kept_words(text: Column) -> Column:
+    """All words of a text in order, by the rule of ``explode_words``; an empty list for null."""
+    kept = F.filter(
+        word_runs(text),
+        lambda w: F.length(w).between(WORD_MIN, WORD_MAX) & ~F.startswith(w, F.lit("_")),
+    )
+    return F.coalesce(kept, F.array().cast("array<string>"))
+
+
 def explode_words(df: DataFrame, keep: list[str], text: str, word: str = "word") -> DataFrame:
     """One row per kept word: lower case, 2 to 15 characters, no leading underscore."""
     return df.select(*keep, F.explode(word_runs(F.col(text))).alias(word)).where(is_word(word))

@@ -98,3 +98,31 @@ def test_shuffled_articles_keep_null_topics(spark):
     df = spark.createDataFrame(rows, "topic string, pmid long")
     out = docvectors.shuffled_articles(df).collect()
     assert sorted(r.pos for r in out if r.topic is None) == list(range(1, 11)) and len(out) == 20
+
+
+def test_a_vocabulary_above_the_limit_is_not_broadcast(articles, vectors):
+    plan = docvectors.document_vectors(articles, vectors, ["topic", "pmid"], 60)
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_give_what_the_broadcast_gives(spark):
+    rows = [
+        ("T" if i % 3 else None, None if i % 7 == 0 else i % 20, f"w{'abcdefgh'[i % 8]} wc wzz", "wa wb " * (i % 4))
+        for i in range(60)
+    ] + [("T", 100, None, None), (None, None, "", "none")]
+    vectors = [(f"w{c}", [float(i), -1.5 * i, 2.0]) for i, c in enumerate("abcdefg")]
+    vectors.append(("wc", [0.25, 0.5, 1.0]))  # a second vector of a word counts as another word
+    left = spark.createDataFrame(rows, "topic string, pmid long, title string, abstract string")
+    right = spark.createDataFrame(vectors, "word string, vector array<float>")
+
+    def found(*limits):
+        out = docvectors.document_vectors(left, right, ["topic", "pmid"], *limits).collect()
+        assert len({(r.topic, r.pmid) for r in out}) == len(out)
+        return {(r.topic, r.pmid): r.features for r in out}
+
+    whole = found(10**9)
+    for block_bytes in (10**9, 300):
+        blocks = found(0, block_bytes)
+        assert blocks.keys() == whole.keys()
+        for key, features in whole.items():
+            assert blocks[key] == pytest.approx(features)
