@@ -12,26 +12,34 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewsieve.session import broadcast_if_small
+from reviewsieve.session import broadcast_if_small, cut_lineage
+
+# Bytes of text that a topic's file holds.
+FILE_MAX_BYTES = 64 * 1024 * 1024
 
 
 def write_by_topic(
-    enriched: DataFrame, path: str, by: list[str], fmt: str = "csv", max_rows: int = 1_000_000
-) -> None:
-    """One folder per ``by`` value, a topic's rows in as many files as ``max_rows`` needs.
+    enriched: DataFrame, path: str, by: list[str], fmt: str = "csv", max_rows: int = 1_000_000,
+    max_bytes: int = FILE_MAX_BYTES,
+) -> None:
+    """One folder per ``by`` value, a topic's rows in as many files as ``max_rows`` and ``max_bytes`` need.
 
     Rows are dealt out by topic and a salt of that many values, so a topic does not get a
-    file from every task, and a large one is not written by one task.
+    file from every task, and a large one is not written by one task, nor read by one where
+    files cannot be split. ``max_bytes`` of text is what a file gets on average.
     """
-    files = enriched.groupBy(*by).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(max_rows)).cast("int").alias("_files")
-    )
-    same = F.struct(*by).alias("_by")
-    sized = enriched.withColumn("_by", F.struct(*by)).join(
-        broadcast_if_small(files.select(same, "_files")), "_by"
+    size = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 1 for c in enriched.columns]
+    needed = F.greatest(
+        F.count(F.lit(1)) / F.lit(max_rows), F.sum(sum(size[1:], size[0]).cast("bigint")) / F.lit(max_bytes)
     )
+    files = enriched.groupBy(*by).agg(F.ceil(needed).cast("int").alias("_files"))
+    files = cut_lineage(files.select(F.struct(*by).alias("_by"), "_files"))
+    cells = files.agg(F.sum("_files")).first()[0] or 1
+    sized = enriched.withColumn("_by", F.struct(*by)).join(broadcast_if_small(files), "_by")
     salt = F.pmod(F.xxhash64(*enriched.columns), F.col("_files"))
-    enriched = sized.withColumn("_salt", salt).repartition(*by, "_salt").select(*enriched.columns)
+    # Twice as many parts as files, so that few parts hold two of them.
+    dealt = sized.withColumn("_salt", salt).repartition(2 * cells, *by, "_salt")
+    enriched = dealt.select(*enriched.columns)
     writer = enriched.write.partitionBy(*by).option("maxRecordsPerFile", max_rows)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')

@@ -101,6 +101,23 @@ def test_sinks_by_topic_and_combined(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "all")).count() == 3
 
 
+def test_large_topics_are_written_to_several_files(spark, tmp_path):
+    rows = spark.range(400).select(
+        F.when(F.col("id") < 380, "large").when(F.col("id") < 390, "small").alias("CD"),
+        F.col("id").cast("string").alias("PMID"), F.repeat(F.lit("text\n"), 200).alias("title"),
+    )
+    sinks.write_by_topic(rows, str(tmp_path / "topics"), ["CD"], max_bytes=40_000)
+
+    def sizes(topic):
+        return [f.stat().st_size for f in (tmp_path / "topics" / f"CD={topic}").glob("part-*")]
+
+    assert len(sizes("large")) >= 5 and max(sizes("large")) < 200_000
+    assert len(sizes("small")) == len(sizes("__HIVE_DEFAULT_PARTITION__")) == 1
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    back = reader.csv(str(tmp_path / "topics"))
+    assert sorted(int(r.PMID) for r in back.collect()) == list(range(400))
+
+
 @pytest.fixture
 def keeper(spark, tmp_path):
     """Calls of kept_features on one folder, with a list of what was built."""
