@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from reviewsieve.functions.hashing import draw
 from reviewsieve.functions.ranking import draw_rank
 from reviewsieve.functions.text import explode_article_words, kept_words
-from reviewsieve.session import fresh
+from reviewsieve.session import broadcast_if_small, cut_lineage, fresh
 
 FIELDS = ("title", "abstract")
 # Word vectors that may be broadcast, in memory and as doubles: the driver holds them several times.
@@ -29,11 +29,41 @@ WORDS_AT_ONCE = 1 << 15
 
 
 def word_counts(articles: DataFrame, keys: list[str]) -> DataFrame:
-    """Per word and field: how often it occurs and in how many articles."""
-    words = explode_article_words(articles, keys)
-    per_article = words.groupBy(*keys, "field", "word").agg(F.count(F.lit(1)).alias("tf"))
-    return per_article.groupBy("field", "word").agg(
-        F.count(F.lit(1)).alias("articles"), F.sum("tf").alias("occurrences")
+    """Per word and field: how often it occurs and in how many articles.
+
+    An article of one row counts its words where it is, so only counts per word are shuffled.
+    Rows with the same keys are one article: where keys repeat, these rows (and no others) send
+    their words to be counted per article first.
+    """
+    key = F.struct(*keys).alias("_key")
+    repeated = cut_lineage(
+        articles.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(key)
+    )
+    several = repeated.limit(1).count() > 0
+    alone = articles
+    if several:
+        keyed = articles.withColumn("_key", key)
+        few = broadcast_if_small(repeated)
+        alone = keyed.join(few, "_key", "left_anti").drop("_key")
+    # Each word of a field twice: once for the article, and once for every occurrence.
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    fields = [F.struct(F.lit(f).alias("field"), kept_words(F.col(f)).alias("words")) for f in FIELDS]
+    each = F.concat(
+        F.transform(
+            F.array_distinct("words"),
+            lambda w: F.struct(w.alias("word"), one.alias("articles"), none.alias("occurrences")),
+        ),
+        F.transform(
+            "words", lambda w: F.struct(w.alias("word"), none.alias("articles"), one.alias("occurrences"))
+        ),
+    )
+    counts = alone.select(F.inline(F.array(*fields))).select("field", F.inline(each))
+    if several:
+        words = explode_article_words(keyed.join(few, "_key", "left_semi").drop("_key"), keys)
+        per_article = words.groupBy(*keys, "field", "word").agg(F.count(F.lit(1)).alias("occurrences"))
+        counts = counts.unionByName(per_article.select("field", "word", one.alias("articles"), "occurrences"))
+    return counts.groupBy("field", "word").agg(
+        F.sum("articles").alias("articles"), F.sum("occurrences").alias("occurrences")
     )
 
 

@@ -126,3 +126,21 @@ def test_blocks_give_what_the_broadcast_gives(spark):
         assert blocks.keys() == whole.keys()
         for key, features in whole.items():
             assert blocks[key] == pytest.approx(features)
+
+
+def test_word_counts_take_rows_of_one_key_as_one_article(spark):
+    rows = [(1, "one two one", "two"), (2, "one", None), (2, "one two", "x yy yy"), (None, "one", ""), (None, "one", "yy")]
+    many = spark.createDataFrame(rows, "pmid long, title string, abstract string")
+    got = {(r.field, r.word): (r.articles, r.occurrences) for r in docvectors.word_counts(many, ["pmid"]).collect()}
+    assert got == {
+        ("title", "one"): (3, 6), ("title", "two"): (2, 2), ("abstract", "two"): (1, 1), ("abstract", "yy"): (2, 3),
+    }
+
+
+def test_words_of_articles_of_one_row_are_counted_before_the_shuffle(articles):
+    counted = docvectors.word_counts(articles, ["topic", "pmid"])
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange " in line]
+    assert len(exchanges) == 1 and "pmid" not in exchanges[0]
+    got = {(r.field, r.word): (r.articles, r.occurrences) for r in counted.collect()}
+    assert got["title", "alpha"] == (1, 2) and got["abstract", "the"] == (1, 3) and got["abstract", "beta"] == (2, 3)
