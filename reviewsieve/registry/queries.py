@@ -144,8 +144,9 @@ def xml_attributes(spark: SparkSession, d: str) -> DataFrame:
 def xml_tag_texts(spark: SparkSession, d: str) -> DataFrame:
     found = articlexml.all_tag_texts(articlexml.split_records(fx.responses(spark, d)))
     mark = F.conv(F.substring(F.md5(F.concat_ws("|", "pmid", "text")), 1, 8), 16, 10)
-    rows = found.select(F.col("texts")["PMID"].alias("pmid"), F.explode("texts").alias("tag", "text"))
-    return rows.groupBy("tag").agg(
+    # Outer, for else Spark makes all texts once more to leave out records without any.
+    rows = found.select(F.col("texts")["PMID"].alias("pmid"), F.explode_outer("texts").alias("tag", "text"))
+    return rows.where("tag is not null").groupBy("tag").agg(
         F.count(F.lit(1)).alias("records"),
         F.countDistinct("text").alias("texts"),
         F.sum(mark.cast("bigint")).alias("mark"),

@@ -60,15 +60,17 @@ def _checked(responses: DataFrame) -> DataFrame:
 
     ``from_xml`` reads up to the end of the root: with a root of our own, that is all of it.
     """
-    body = _without_cdata(F.regexp_replace("xml", _PROLOG, ""))
-    whole = F.concat(F.lit("<response>"), body, F.lit("</response>"))
+    body = _without_cdata(F.col("_body"))
+    whole = F.concat(F.lit("<response>"), F.col("_body"), F.lit("</response>"))
     parsed = F.from_xml(whole, "_corrupt string", _PARSE)
     # What from_xml lets pass but XPath or the reader of a response would not.
-    framed = F.rlike(body, F.lit(r"(?s)^\s*<.*>\s*$"))
-    stray = F.rlike(body, F.lit(r"[\uFFFE\uFFFF]|\]\]>"))
-    broken = body.isNull() | ~framed | stray | parsed["_corrupt"].isNotNull()
+    framed = F.rlike("_body", F.lit(r"(?s)^\s*<.*>\s*$"))
+    stray = F.rlike("_body", F.lit(r"[\uFFFE\uFFFF]|\]\]>"))
+    broken = F.col("_body").isNull() | ~framed | stray | parsed["_corrupt"].isNotNull()
+    # Every step in a column of its own, which Spark makes once.
+    bare = responses.withColumn("_body", F.regexp_replace("xml", _PROLOG, "")).withColumn("_body", body)
     shown = F.regexp_replace(whole, _COMMENT, "")
-    return responses.withColumn("_broken", broken).withColumn("xml", shown)
+    return bare.withColumn("_broken", broken).withColumn("xml", shown).drop("_body")
 
 
 def _without_cdata(xml: Column) -> Column:
@@ -224,14 +226,19 @@ def all_tag_texts(records: DataFrame) -> DataFrame:
         part(1), part(2), lambda tag, text: F.struct(tag.alias("tag"), plain(text).alias("text"))
     )
     shown = F.filter(pairs, lambda p: F.rlike(p["text"], F.lit(_SHOWN)))
-    tags = F.array_distinct(F.transform("_shown", lambda p: p["tag"]))
-    last = F.transform(
-        tags, lambda tag: F.element_at(F.filter("_shown", lambda p: p["tag"] == tag), -1)["text"]
-    )
+
+    def last_texts(found: Column) -> Column:
+        tags = F.array_distinct(F.transform(found, lambda p: p["tag"]))
+        last = F.transform(
+            tags, lambda tag: F.element_at(F.filter(found, lambda p: p["tag"] == tag), -1)["text"]
+        )
+        return F.map_from_arrays(tags, last)
+
+    # Bound to a name (a list of one), so that a record is cut up once and not once for every tag,
+    # wherever Spark copies the expression to.
+    texts = F.get(F.transform(F.array(shown), last_texts), F.lit(0))
     others = [c for c in records.columns if c != "xml"]
-    return records.withColumn("_shown", shown).select(
-        *others, F.map_from_arrays(tags, last).alias("texts")
-    )
+    return records.select(*others, texts.alias("texts"))
 
 
 def fetch_plan(ids: DataFrame, topic: str = "topic", pmid: str = "pmid") -> DataFrame:
